@@ -13,8 +13,8 @@ import functools
 import json
 import os
 
-#: Entries kept at most; the cache is emptied at this size, which bounds a worker's memory.
-CACHE = 400_000
+#: Words kept at most per worker: the first ones seen, which the frequent ones are among.
+CACHE = 1_000_000
 MARK = "\x01"
 #: Not plain for case, composition or white space although below U+0250.
 ODD = frozenset("\x01\x85\xa0İ\x1c\x1d\x1e\x1f")
@@ -62,12 +62,12 @@ class WordTokens:
         words = text.lower().split()
         out = list(map(cache.get, words))
         if None in out:
-            if len(cache) > CACHE:
-                cache.clear()
             for k, (w, x) in enumerate(zip(words, out, strict=True)):
                 if x is None:
                     if (x := cache.get(w)) is None:
-                        x = cache[w] = b"".join(i.to_bytes(4, "little") for i in self._ids(w.decode()))
+                        x = b"".join(i.to_bytes(4, "little") for i in self._ids(w.decode()))
+                        if len(cache) < CACHE:
+                            cache[w] = x
                     out[k] = x
         return b"".join(out)
 
