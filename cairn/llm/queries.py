@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, packing, quality
+from . import byte_bpe, line_dedup, near_dedup, packing, quality
 from .common import read
 
 
@@ -33,8 +33,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_docs")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_byte_bpe, op7_quality_rules, op9_line_dedup)
+    f.__name__: f for f in (op1_packing, op2_byte_bpe, op7_quality_rules, op9_line_dedup, op10_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_line_dedup": """
