@@ -50,9 +50,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_lists(texts: pa.Array) -> pa.ListArray:
-    """Lower-cased words of each text (large strings, so any length goes)."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    return pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    """Words of each text (large strings, so any length goes; by way of bytes, as slices of strings come out wrong)."""
+    return pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_binary()), b"").cast(pa.large_string()))
 
 
 def shingles(texts: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,7 +62,7 @@ def shingles(texts: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarra
     full = pc.greater(pc.binary_length(flat), 0)
     flat, doc = flat.filter(full), doc[full.to_numpy(zero_copy_only=False)]
     coded = flat.dictionary_encode()
-    table = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
+    table = np.array([xxhash.xxh3_64_intdigest(w.lower()) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], dtype=np.uint64)
     if not len(doc):
         return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
     h = table[coded.indices.to_numpy()]

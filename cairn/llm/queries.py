@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, near_dedup, packing, quality
+from . import byte_bpe, line_dedup, near_dedup, packing, pii, quality
 from .common import read
 
 
@@ -23,6 +23,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.detect(read(spark, sf_dir, "documents"))
+    count = lambda kind: (F.size(F.split("base", f"{kind}:")) - 1).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *map(count, pii.KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"), "q")
     return out.select("doc_id", *[f"q.{c}" for c in quality.BASE], "q.base_failed", "q.kept", "q.n_grams", "q.ratio")
@@ -38,7 +44,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_byte_bpe, op7_quality_rules, op9_line_dedup, op10_near_dedup)
+    f.__name__: f for f in (op1_packing, op2_byte_bpe, op6_pii, op7_quality_rules, op9_line_dedup, op10_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_line_dedup": """
