@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, near_dedup, packing, pii, quality
+from . import byte_bpe, language_model, line_dedup, near_dedup, packing, pii, quality
 from .common import read
 
 
@@ -23,6 +23,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(read(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.detect(read(spark, sf_dir, "documents"))
     count = lambda kind: (F.size(F.split("base", f"{kind}:")) - 1).cast("long").alias(f"n_{kind}")
@@ -44,7 +48,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_byte_bpe, op6_pii, op7_quality_rules, op9_line_dedup, op10_near_dedup)
+    f.__name__: f for f in (op1_packing, op2_byte_bpe, op5_language_model, op6_pii, op7_quality_rules, op9_line_dedup, op10_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_line_dedup": """
