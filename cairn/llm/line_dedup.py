@@ -167,13 +167,14 @@ def _cut(text: str | None, drop, least: int) -> tuple[list[str], int]:
     return kept, len(lines) - len(kept)
 
 
-def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """``docs`` with ``text`` less its repeated lines, and ``n_lines`` (before), ``n_dropped``.
+def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, counts: bool = True) -> DataFrame:
+    """``docs`` with ``text`` less its repeated lines; with ``counts`` also ``n_lines`` (before), ``n_dropped``.
 
-    Columns of those two names that ``docs`` already has are replaced; ``text`` comes out null only
+    With ``counts``, columns of those two names that ``docs`` already has are replaced; ``text`` comes out null only
     where it came in null. All other columns stay as they are.
     """
-    docs = docs.drop("n_lines", "n_dropped")
+    if counts:
+        docs = docs.drop("n_lines", "n_dropped")
     d, drop = common.fresh(docs, "line_d"), common.fresh(docs, "line_drop")
     gone = repeated_lines(docs, min_chars, min_docs).select(F.col("d").alias(d), F.col("drop").alias(drop))
     joined = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(gone, d, "left")
@@ -185,4 +186,4 @@ def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
 
     r = common.fresh(joined, "line_r")
     out = joined.withColumn(r, cut("text", F.col(drop)))
-    return out.select(*[F.col(f"{r}.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], f"{r}.n_lines", f"{r}.n_dropped")
+    return out.select(*[F.col(f"{r}.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], *[f"{r}.{c}" for c in ("n_lines", "n_dropped") if counts])
