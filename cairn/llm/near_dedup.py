@@ -72,7 +72,7 @@ def shingles(texts: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarra
     out = np.zeros(len(h), np.uint64)
     for j in range(width):
         part = np.zeros(len(h), np.uint64)
-        part[: len(h) - j] = h[j:] * np.uint64(ODDS[j % 5])
+        part[: max(0, len(h) - j)] = h[j:] * np.uint64(ODDS[j % 5])
         out += _mix(np.where(left > j, part, np.uint64(0)) + np.uint64(j))
     start = (left >= width) | ((left == n[doc]) & (n[doc] < width))
     key = np.sort(doc[start].astype(np.uint64) << np.uint64(32) | (_mix(out[start]) >> np.uint64(32)))
@@ -246,11 +246,12 @@ def links(sketches: DataFrame) -> DataFrame:
         return first
     # an exact way for what the anchors didn't reach
     label = components(first)
-    named = large.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    named = common.keep(large.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c")), "near-large")
     main = named.groupBy("g", "label").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("label", "n").alias("main"))
-    rest = named.join(main, "g").where("label <> main").drop("chunk").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cols = ["g", "chunk", "c", "label", "shingles", "counts"]
-    more = named.select(cols).groupBy("g", "chunk").cogroup(rest.select(cols).groupBy("g", "chunk")).applyInPandas(_rest, EDGES)
+    rest = named.join(main, "g").where("label <> main").drop("chunk").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rest = common.keep(rest.select(cols), "near-rest")
+    more = named.select(cols).groupBy("g", "chunk").cogroup(rest.groupBy("g", "chunk")).applyInPandas(_rest, EDGES)
     return first.union(common.keep(more, "near-links"))
 
 
