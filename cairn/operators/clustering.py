@@ -214,7 +214,7 @@ def _far_apart(df: DataFrame, k: int, cols: list[str]) -> list[list[float]]:
 
 
 def cluster(df: DataFrame, method: str = "dbscan", **options) -> DataFrame:
-    """point_id, cluster by name of method: dbscan, kmeans, gmm, spectral, bisecting."""
+    """point_id, cluster by name of method: dbscan, kmeans, gmm, spectral; bisecting and gmm_full (full covariance) are Spark's own."""
     if method == "dbscan":
         return dbscan(df, **options).select("point_id", "cluster")
     if method == "kmeans":
@@ -223,10 +223,11 @@ def cluster(df: DataFrame, method: str = "dbscan", **options) -> DataFrame:
         return gmm_diag(df, **options).predict(df).select("point_id", "cluster")
     if method == "spectral":
         return spectral(df, **options)
-    if method == "bisecting":
-        from pyspark.ml.clustering import BisectingKMeans
+    if method in ("bisecting", "gmm_full"):
+        from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
         from pyspark.ml.feature import VectorAssembler
 
         rows = VectorAssembler(inputCols=list(AXES), outputCol="_f").transform(df)
-        return BisectingKMeans(featuresCol="_f", predictionCol="cluster", seed=1, **options).fit(rows).transform(rows).select("point_id", "cluster")
+        kind = BisectingKMeans if method == "bisecting" else GaussianMixture
+        return kind(featuresCol="_f", predictionCol="cluster", seed=1, **options).fit(rows).transform(rows).select("point_id", "cluster")
     raise ValueError(f"unknown method {method!r}")

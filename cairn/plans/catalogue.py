@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import cloud, clustering, features, graph, neighbors, planes, stats, trees, voxel
 from ..sources import synthetic, tables
-from . import sql
+from . import compare, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -490,3 +490,8 @@ def synthetic_shapes(s, d):
 @register()
 def sampled_rows(s, d):
     return synthetic.sample_rows(tables.pts(s, d).select("point_id", *XYZ), 1000)
+
+
+@register()
+def clustering_compare(s, d):
+    return compare.compare(s, ("spectral", "kmeans"), 300)[0].groupBy("shape", "method", "cluster").agg(F.count("*").alias("n"))

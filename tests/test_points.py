@@ -240,3 +240,16 @@ def test_pca_rebuild_with_all_components(spark):
     p = cloud.centre(points(spark, random_points(spark, 30).tolist()))
     for r in stats.pca_project(p, stats.pca(p), 3).collect():
         assert [r["rx"], r["ry"], r["rz"]] == pytest.approx([r["x"], r["y"], r["z"]])
+
+
+def test_dispatcher_and_comparison(spark):
+    from cairn.plans.compare import compare
+
+    df = points(spark, [(k % 5 / 10, k // 5 / 10, k % 3 / 10) for k in range(25)] + [(9 + k % 5 / 10, k // 5 / 10, 1 + k % 3 / 10) for k in range(25)])
+    for method, options in (("dbscan", {"r": 0.5, "min_sample": 3}), ("kmeans", {"k": 2, "init": [[0, 0, 0], [9, 0, 1]]}), ("bisecting", {"k": 2}), ("gmm", {"k": 2, "init": [[0, 0, 0], [9, 0, 1]], "max_iter": 3})):
+        labels = [r["cluster"] for r in clustering.cluster(df, method, **options).orderBy("point_id").collect()]
+        assert len(set(labels[:25])) == 1 == len(set(labels[25:])) and labels[0] != labels[25], method
+    with pytest.raises(ValueError, match="unknown"):
+        clustering.cluster(df, "none")
+    rows, seconds = compare(spark, ("kmeans",), 60, ("blobs",))
+    assert rows.count() == 60 and [x[:2] for x in seconds] == [("blobs", "kmeans")]
