@@ -26,8 +26,9 @@ BUCKETS = 1 << 14
 TARGETS = 20_000
 #: Mean log ratio (in nats) below which a document goes.
 THRESHOLD = -0.1
-#: Added to every bucket's count.
-SMOOTH = 1.0
+#: Added to every raw count; and what a bucket gets on average, by raw shares, on top of its target count, so that a small target
+#: says little instead of speaking against every text outside it.
+SMOOTH, PRIOR = 1.0, 10.0
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SCALE = 1_000_000
@@ -103,7 +104,7 @@ def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, targets:
     good = F.broadcast(good.orderBy(F.xxhash64("good_id"), "good_id").limit(targets).withColumn("good", F.lit(1)))
     flagged = docs.select(F.col("doc_id").cast("long").alias("good_id"), F.col("text").cast("string").alias("text")).join(good, "good_id", "left")
     found = flagged.select("good", F.explode(let(words(F.col("text")), lambda w: grams(w, buckets))).alias("b"))
-    raw, target = np.full(buckets, SMOOTH), np.full(buckets, SMOOTH)
+    raw, target = np.full(buckets, SMOOTH), np.zeros(buckets)
     counted = False
     for b, n, g in found.groupBy("b").agg(F.count("*"), F.count("good")).collect():
         raw[b] += n
@@ -111,7 +112,9 @@ def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, targets:
         counted |= g > 0
     if not counted:
         return np.zeros(buckets, dtype=np.int64)
-    return np.rint((np.log(target / target.sum()) - np.log(raw / raw.sum())) * SCALE).astype(np.int64)
+    raw /= raw.sum()
+    target += PRIOR * buckets * raw
+    return np.rint((np.log(target / target.sum()) - np.log(raw)) * SCALE).astype(np.int64)
 
 
 def judged(docs: DataFrame, labels: DataFrame, name: str, buckets: int = BUCKETS, targets: int = TARGETS, threshold: float = THRESHOLD) -> DataFrame:

@@ -296,10 +296,12 @@ def test_ratios_are_plain_counts(spark, labels):
     df = spark.createDataFrame([(5, "a b"), (1, "b b c")], "doc_id long, text string")
     got = quality.ratios(df, labels, 64)
     grams = {r["doc_id"]: r["g"] for r in df.select("doc_id", quality.grams(quality.words(F.col("text")), 64).alias("g")).collect()}
-    raw, target = np.ones(64), np.ones(64)
+    raw, target = np.ones(64), np.zeros(64)
     np.add.at(raw, grams[5] + grams[1], 1)
     np.add.at(target, grams[5], 1)
-    assert got.tolist() == np.rint((np.log(target / target.sum()) - np.log(raw / raw.sum())) * 1e6).astype(int).tolist()
+    raw /= raw.sum()
+    target += quality.PRIOR * 64 * raw
+    assert got.tolist() == np.rint((np.log(target / target.sum()) - np.log(raw)) * 1e6).astype(int).tolist()
 
 
 # --- 8 ----------------------------------------------------------------------
