@@ -17,8 +17,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(seen, labels["node"] == seen["a"], "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
-        jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        moved = step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) != F.col("label")).alias("moved"))
+        step = common.keep(step, "cc")  # so that both sides below are dealt anew, and a label that many nodes have can be split
+        roots = step.select(F.col("node").alias("next"), F.col("next").alias("far")).join(step.select("next").distinct(), "next", "left_semi")
+        moved = step.join(roots, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) != F.col("label")).alias("moved"))
         moved = common.keep(moved, "cc")
         labels = moved.select("node", "label")
         if moved.where("moved").isEmpty():
