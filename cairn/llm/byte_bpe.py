@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words kept at most per worker and cache: the first ones seen, which the frequent ones are among.
-CACHE = 700_000
+CACHE = 200_000
 
 
 def byte_chars() -> list[str]:
