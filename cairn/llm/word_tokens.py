@@ -14,7 +14,7 @@ import json
 import os
 
 #: Words kept at most per worker: the first ones seen, which the frequent ones are among.
-CACHE = 1_000_000
+CACHE = 200_000
 MARK = "\x01"
 #: Not plain for case, composition or white space although below U+0250.
 ODD = frozenset("\x01\x85\xa0İ\x1c\x1d\x1e\x1f")
