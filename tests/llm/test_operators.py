@@ -203,6 +203,22 @@ def test_language_model(spark, sf, odd, none):
     assert language_model.score(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_score_depends_on_word_order(spark, monkeypatch, hot):
+    if hot:  # every context dealt over shards
+        monkeypatch.setattr(language_model, "HOT_EACH", 100)
+        monkeypatch.setattr(language_model, "HOT_LEAST", 1)
+    rng = random.Random(5)
+    train = [k for k in range(1, 2000) if not language_model.held_out(k)][:400]
+    rows = [(d, " ".join(f"a{j} b{j}" for j in (rng.randrange(50) for _ in range(40)))) for d in train]
+    held = [k for k in range(3000, 4000) if language_model.held_out(k)][:2]
+    rows += [(held[0], " ".join(f"a{j} b{j}" for j in range(20))), (held[1], " ".join(f"b{j} a{j}" for j in range(20)))]
+    out = {r["doc_id"]: r for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert out[held[0]]["base_score"] == pytest.approx(out[held[1]]["base_score"])
+    assert out[held[0]]["score"] > out[held[1]]["score"] + 20  # b after its a is all but certain
+    assert -1.9 < out[held[0]]["score"] / 40 < -0.8  # half of the words are one of 50, the others certain
+
+
 def test_words_sum_to_one():
     import pyarrow as pa
 
