@@ -175,7 +175,7 @@ class _Sets:
         mass = np.bincount(self.owner[at], np.minimum(self.share[at], np.repeat(p, n)), minlength=len(self.sets))
         out = []
         for j in np.flatnonzero((mass >= SIMILAR - 1e-9) & open_).tolist():
-            if j != k and (v := similarity(s, self.weights[k], self.sets[j], self.weights[j])) >= SIMILAR:
+            if j != k and (v := similarity(s, self.weights[k], self.sets[j], self.weights[j])) >= SIMILAR - 1e-9:  # a sum of fractions, rounded
                 out.append((j, v))
         return out
 

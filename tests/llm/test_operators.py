@@ -402,6 +402,16 @@ def test_near_dedup(spark, odd, none, monkeypatch, chunk):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted({min(g) for g in groups.values()})
 
 
+def test_pairs_of_exactly_the_threshold_are_linked():
+    for union in (15, 60, 80, 100, 120, 200):
+        for less in (0, 1):  # one common element fewer is below 0.8
+            common, a = union * 4 // 5 - less, union // 10
+            first = np.arange(common + a, dtype=np.uint32)
+            second = np.r_[np.arange(common), np.arange(common + a, union)].astype(np.uint32)
+            found = near_dedup._Sets([first.tobytes(), second.tobytes()], [b"", b""]).near(0, np.ones(2, bool))
+            assert [j for j, _ in found] == ([] if less else [1]), union
+
+
 def test_near_dedup_odd(odd, none, spark):
     assert near_dedup.classes(odd).count() == len(ODD)
     assert near_dedup.one_of_each(clashing(odd)).columns == clashing(odd).columns
