@@ -343,6 +343,15 @@ def test_licenses(spark, none):
 # --- 10 ---------------------------------------------------------------------
 
 
+def test_notices_in_long_lines():
+    rng = random.Random(11)
+    for n in (20, 100, 1000, 5000):
+        for name in ("MIT", "CC-BY-4.0", "Apache-2.0", "ISC-grant"):
+            prose = [f"{rng.choice('bcdfgk')}{rng.choice('aeiou')}{rng.randrange(3000)}x" for _ in range(n)]
+            text = " ".join([*prose[: n // 2], licenses.TEMPLATES[name], *prose[n // 2 :]])
+            assert [(r[2], r[4], r[5]) for r in licenses.scan(text)] == [(name, "", "")], (n, name)
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     rng = np.random.default_rng(7)
     shared, a, b = rng.choice(2**32, (3, 60), replace=False).astype(np.uint32)
