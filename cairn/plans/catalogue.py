@@ -494,4 +494,4 @@ def sampled_rows(s, d):
 
 @register()
 def clustering_compare(s, d):
-    return compare.compare(s, ("spectral", "kmeans"), 300)[0].groupBy("shape", "method", "cluster").agg(F.count("*").alias("n"))
+    return compare.compare(s, ("spectral", "kmeans"))[0].groupBy("shape", "method", "cluster").agg(F.count("*").alias("n"))

@@ -253,3 +253,11 @@ def test_dispatcher_and_comparison(spark):
         clustering.cluster(df, "none")
     rows, seconds = compare(spark, ("kmeans",), 60, ("blobs",))
     assert rows.count() == 60 and [x[:2] for x in seconds] == [("blobs", "kmeans")]
+
+
+def test_registered_comparison_takes_whole_shapes(spark, monkeypatch):
+    from cairn.plans import catalogue, compare
+
+    whole = compare.compare
+    monkeypatch.setattr(catalogue.compare, "compare", lambda s, methods, *size: whole(s, ("kmeans",), *size, shapes=("blobs",)))
+    assert sum(r["n"] for r in catalogue.QUERIES["clustering_compare"](spark, "").collect()) == 1500
