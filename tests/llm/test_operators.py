@@ -343,6 +343,26 @@ def test_licenses(spark, none):
 # --- 10 ---------------------------------------------------------------------
 
 
+@pytest.mark.parametrize(
+    ("name", "text"),
+    [
+        ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."),
+        ("GPL-3.0", "Licensed under the terms of the GNU General Public License, version 3"),
+        ("LGPL-2.1-or-later", "Licensed under the GNU Lesser General Public License, version 2.1 or later."),
+        ("MIT", "Distributed under the terms of the MIT license"),
+        ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        ("CC-BY-3.0", "Licensed under CC BY 3.0."),
+        ("CC0-1.0", "Released under CC0 1.0."),
+        ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
+        ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+        ("GPL-2.0-or-later", "// SPDX-License-Identifier: GPL-2.0+"),
+        ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"),
+    ],
+)
+def test_wordings(name, text):
+    assert [r[2] for r in licenses.scan(f"prose here and more\n\n\n\n{text}\n\n\n\nother words")] == [name]
+
+
 def test_notices_in_long_lines():
     rng = random.Random(11)
     for n in (20, 100, 1000, 5000):
