@@ -12,12 +12,14 @@ SPACE = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Folder all executors see: ``spark.checkpoint.dir``. Where that is unset a temporary one serves, but only if all runs in this one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = named.get() if named.isDefined() else None
     if not named:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -28,15 +30,27 @@ def keep(df: DataFrame, label: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairn/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
 
 
-def discard(spark: SparkSession) -> None:
-    """Delete every table that ``keep`` wrote in this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cairn/{spark.sparkContext.applicationId}")
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``keep`` returned, once all that reads them is itself kept."""
+    for df in tables:
+        _delete(df.sparkSession, df.kept_at)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete every table that ``keep`` wrote in this application and that hasn't been dropped: those that results still read."""
+    _delete(spark, f"{shared_dir(spark)}/cairn/{spark.sparkContext.applicationId}")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have yet (names compare without case)."""
     taken = {c.lower() for c in df.columns}

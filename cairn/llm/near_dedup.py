@@ -6,12 +6,11 @@ with its weight as rate whose points fall into random slots; a slot keeps the el
 and an element stops as soon as its clock has passed every slot's. Two texts agree in a slot with their
 probability Jaccard similarity.
 
-Texts of equal words form one class and go on as one. Texts that share a band (four
-slots) are joined into coarse groups by a star for each band. Inside a group every text is
-reached by a search that compares exactly, so links come out as a tree of verified pairs (similarity
-of at least 0.8), never as all pairs. Groups above a task's size are cut into chunks that all hold the group's
-best-connected texts; then whatever isn't in the group's largest component is
-compared with every chunk. Classes are the components of the verified links.
+Texts of equal words form one class and go on as one. The least text of a band (four slots) is its hub; all texts that share
+a band with a hub are its star, so two texts that share a band share a star. Stars are dealt in chunks of bounded size, each with the
+star's best-connected texts. Inside a chunk every text is reached by a search that compares exactly, so links come
+out as one star for each class (similarity of at least 0.8), never as all pairs. Then, in stars of several chunks, whatever isn't in the star's
+main class is compared with every chunk, block by block. Classes are the components of the verified links.
 
 Null text counts as empty; texts without words form one class. Null ids get a class like any
 other row and never name one unless all ids in it are null. Rows that repeat an id are classified each by their own
@@ -26,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -36,9 +35,9 @@ WORDS = 5
 SIMILAR = 0.8
 #: 24 bands of 4 slots: a pair at 0.8 shares none with odds of 3 in a million.
 SLOTS, ROWS = 96, 4
-#: Shingles that one verification task holds, about.
-CHUNK = 3_000_000
-ANCHORS = 16
+#: Shingles and texts that a chunk holds, about; anchors that stand in every chunk of a star of several.
+CHUNK, MEMBERS = 200_000, 96
+ANCHORS = 8
 ODDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD]
 
 
@@ -157,102 +156,170 @@ class _Sets:
 
     def __init__(self, elements: list[bytes], counts: list[bytes]):
         self.sets = [np.frombuffer(e, np.uint32) for e in elements]
-        self.weights = [np.frombuffer(c, np.uint32) if c else np.ones(len(s), np.uint32) for c, s in zip(counts, self.sets, strict=True)]
-        lengths = [len(s) for s in self.sets]
-        total = np.array([max(1, w.sum()) for w in self.weights], dtype=float)
+        self.plain = np.array([not c for c in counts], bool)  # every weight is one
+        self.counts = counts
+        self.sizes = np.array([len(s) for s in self.sets], np.int64)
         flat = np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint32)
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        share = (np.concatenate(self.weights) if self.sets else np.zeros(0)) / total[owner]
         order = np.argsort(flat, kind="stable")
-        self.flat, self.owner, self.share, self.total = flat[order], owner[order], share[order], total
-
-    def near(self, k: int, open_: np.ndarray) -> list[tuple[int, float]]:
-        """The sets among ``open_`` that are similar to set k. The shared probability mass bounds the similarity from above."""
-        s, p = self.sets[k], self.weights[k] / self.total[k]
+        self.flat, self.owner = flat[order], np.repeat(np.arange(len(self.sets)), self.sizes)[order]
+        if not self.plain.all():
+            weights = np.concatenate([self.weights(k) for k in range(len(self.sets))])
+            self.total = np.maximum(1, np.bincount(np.repeat(np.arange(len(self.sets)), self.sizes), weights, minlength=len(self.sets)))
+            self.share = weights[order] / self.total[self.owner]
+
+    def weights(self, k: int) -> np.ndarray:
+        return np.ones(len(self.sets[k]), np.uint32) if self.plain[k] else np.frombuffer(self.counts[k], np.uint32)
+
+    def near(self, k: int, open_: np.ndarray) -> list[int]:
+        """The sets among ``open_`` that are similar to set k."""
+        s = self.sets[k]
         lo, hi = np.searchsorted(self.flat, s, "left"), np.searchsorted(self.flat, s, "right")
         n = hi - lo
         at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        mass = np.bincount(self.owner[at], np.minimum(self.share[at], np.repeat(p, n)), minlength=len(self.sets))
-        out = []
-        for j in np.flatnonzero((mass >= SIMILAR - 1e-9) & open_).tolist():
-            if j != k and (v := similarity(s, self.weights[k], self.sets[j], self.weights[j])) >= SIMILAR - 1e-9:  # a sum of fractions, rounded
-                out.append((j, v))
+        owner = self.owner[at]
+        common = np.bincount(owner, minlength=len(self.sets))
+        open_ = open_ & (common > 0)
+        open_[k] = False
+        if self.plain[k]:  # between plain sets it is the share of the common elements, in whole numbers
+            plain = open_ & self.plain
+            out = np.flatnonzero(plain & (5 * common >= 4 * (len(s) + self.sizes - common))).tolist()
+            open_ = open_ & ~self.plain
+        else:
+            out = []
+        if open_.any():  # the shared probability mass bounds the similarity from above; sums of fractions are rounded
+            p = self.weights(k) / self.total[k]
+            mass = np.bincount(owner, np.minimum(self.share[at], np.repeat(p, n)), minlength=len(self.sets))
+            for j in np.flatnonzero(open_ & (mass >= SIMILAR - 1e-9)).tolist():
+                if similarity(s, self.weights(k), self.sets[j], self.weights(j)) >= SIMILAR - 1e-9:
+                    out.append(j)
         return out
 
 
-EDGES = "a binary, b binary, similarity double"
-
+LINKS = "a binary, b binary"
+STAR = ["star", "chunk", "block", "side", "n", "c", "label", "shingles", "counts"]
 
-def _frame(edges: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(edges, columns=["a", "b", "similarity"]).astype({"similarity": "float64"})
 
-
-def _search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the links among a chunk's texts: each step compares one reached text with all that aren't."""
-    pdf = pdf.sort_values(["anchor", "size", "c"], ascending=[False, False, True])
-    sets, names = _Sets(list(pdf["shingles"]), list(pdf["counts"])), list(pdf["c"])
-    open_, edges = np.ones(len(names), bool), []
+def _search(rows: dict[str, list]) -> list[tuple[bytes, bytes]]:
+    """The classes among a task's texts, as links from each class's first text to all others: a step compares one reached text with all that aren't."""
+    order = sorted(range(len(rows["c"])), key=lambda k: (-rows["n"][k], rows["c"][k]))
+    sets, names = _Sets([rows["shingles"][k] for k in order], [rows["counts"][k] for k in order]), [rows["c"][k] for k in order]
+    open_, out = np.ones(len(names), bool), []
     for seed in range(len(names)):
         if not open_[seed]:
             continue
         open_[seed], queue = False, [seed]
         while queue and open_.any():
-            k = queue.pop()
-            for j, v in sets.near(k, open_):
+            for j in sets.near(queue.pop(), open_):
                 open_[j] = False
                 queue.append(j)
-                edges.append((names[k], names[j], v))
-    return _frame(edges)
-
-
-def _rest(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Links between the texts outside a group's largest component (right) and one chunk (left): one for each pair of components."""
-    if not len(left) or not len(right):
-        return _frame([])
-    both = pd.concat([left, right], ignore_index=True)
-    sets, names, label = _Sets(list(both["shingles"]), list(both["counts"])), list(both["c"]), both["label"].to_numpy(object)
-    edges, known = [], set()
-    chunk = np.arange(len(both)) < len(left)
-    for k in range(len(left), len(both)):
-        for j, v in sets.near(k, chunk & (label != label[k])):
-            if (label[k], label[j]) not in known:
-                known.add((label[k], label[j]))
-                edges.append((names[k], names[j], v))
-    return _frame(edges)
-
-
-def links(sketches: DataFrame) -> DataFrame:
-    """Verified links (a, b: content keys; similarity) that span every class of ``sketches``."""
-    kinds = sketches.where("size > 0").groupBy("c").agg(F.min("row").alias("row"))
-    found = sketches.where("size > 0").select("c", F.explode("bands").alias("h")).distinct()
-    found = common.keep(found, "near-bands")
-    hubs = found.groupBy("h").agg(F.min("c").alias("a"), F.count("*").alias("n")).where("n > 1").select("h", "a")
-    stars = common.keep(found.join(hubs, "h").where("c <> a").select("a", F.col("c").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")), "near-stars")
-    group = components(stars).select(F.col("node").alias("c"), F.col("label").alias("g"))
-    degree = stars.select(F.col("a").alias("c"), "n").union(stars.select(F.col("b").alias("c"), "n")).groupBy("c").agg(F.sum("n").alias("degree"))
-    rows = sketches.select("row", "size", "shingles", "counts")
-    members = common.keep(group.join(degree, "c").join(kinds, "c").join(rows, "row").select("g", "c", "degree", "size", "shingles", "counts"), "near-members")
-    sizes = members.groupBy("g").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("chunks"))
-    small = members.join(sizes, "g").withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int")).withColumn("anchor", F.lit(0))
-    large = small.where("chunks > 1")
-    # the best-connected texts of a large group: the best of each chunk first, then of those
-    best = large.groupBy("g", "chunk").agg(F.slice(F.sort_array(F.collect_list(F.struct("degree", "c")), asc=False), 1, ANCHORS).alias("top"))
-    best = best.groupBy("g").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, ANCHORS).alias("top"))
-    best = best.select("g", F.explode("top").alias("t")).select("g", F.col("t.c").alias("c"))
-    spread = large.join(best, ["g", "c"]).drop("chunk", "anchor").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("anchor", F.lit(1))
-    held = small.unionByName(spread).select("g", "chunk", "c", "anchor", "size", "shingles", "counts")
-    first = common.keep(held.groupBy("g", "chunk").applyInPandas(_search, EDGES), "near-links").where("a <> b")
-    if large.isEmpty():
-        return first
-    # an exact way for what the anchors didn't reach
+                out.append((names[seed], names[j]))
+    return out
+
+
+def _rest(rows: dict[str, list]) -> list[tuple[bytes, bytes]]:
+    """Links between texts outside a star's main class (side 1) and one of its chunks (side 0): one for each pair of labels."""
+    sets, label, side = _Sets(rows["shingles"], rows["counts"]), np.array(rows["label"], object), np.array(rows["side"])
+    known: set[tuple[bytes, bytes]] = set()
+    for k in np.flatnonzero(side == 1).tolist():
+        open_ = (side == 0) & (label != label[k])
+        if open_.any():
+            known |= {(label[k], label[j]) for j in sets.near(k, open_)}
+    return list(known)
+
+
+def _each(find):
+    """``find`` over the rows of each (star, chunk, block), which come together, in order, from sorted batches."""
+
+    def run(batches):
+        held: list[pa.Table] = []
+        key = None
+
+        def done():
+            table = pa.concat_tables(held).to_pydict() if held else None
+            return find(table) if table and len(table["c"]) > 1 else []
+
+        for b in batches:
+            keys = list(zip(*(b.column(x).to_pylist() for x in STAR[:3]), strict=True))
+            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            out: list[tuple[bytes, bytes]] = []
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i < j and keys[i] != key:
+                    out += done()
+                    held, key = [], keys[i]
+                held.append(pa.Table.from_batches([b.slice(i, j - i)]))
+            yield pa.record_batch([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["a", "b"])
+        out = done()
+        yield pa.record_batch([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["a", "b"])
+
+    return run
+
+
+def _dealt(rows: DataFrame, find) -> DataFrame:
+    """Links that ``find`` sees in each (star, chunk, block) of ``rows``: as many tasks as shuffles have, each takes one such group at a time."""
+    dealt = rows.select(*STAR).repartition(common.partitions(rows.sparkSession), "star", "chunk", "block").sortWithinPartitions("star", "chunk", "block")
+    return dealt.mapInArrow(_each(find), LINKS).where("a <> b")
+
+
+def _split(n: str, size: str) -> F.Column:
+    return F.greatest(F.ceil(F.col(size) / CHUNK), F.ceil(F.col(n) / MEMBERS)).cast("int")
+
+
+def labels(sketches: DataFrame) -> DataFrame:
+    """``node`` (content key), ``label``: the class of every text that shares its class with another; a kept table."""
+    kinds = common.keep(sketches.where("size > 0").groupBy("c").agg(F.min(F.struct("row", "size", "bands")).alias("one")).select("c", "one.*"), "near-kinds")
+    found = kinds.select("c", "row", "size", F.explode("bands").alias("h"))
+    hubs = found.groupBy("h").agg(F.min("c").alias("star"), F.max("c").alias("last")).where("star < last").select("h", "star")
+    # the hub is in its star too, with a band for every bucket that it leads, so it comes first
+    stars = common.keep(found.join(hubs, "h").groupBy("star", "c").agg(F.count("*").alias("n"), F.first("row").alias("row"), F.first("size").alias("size")), "near-stars")
+    sizes = stars.groupBy("star").agg(F.count("*").alias("k"), F.sum("size").alias("s"))
+    sizes = common.keep(sizes.select("star", _split("k", "s").alias("chunks")).where("chunks > 1"), "near-sizes")
+    place = F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int").alias("chunk")
+    large = stars.join(sizes, "star").select("star", "c", "n", "row", "chunks", place)
+    rank = Window.partitionBy("star").orderBy(F.desc("n"), "c")
+    best = common.keep(large.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= ANCHORS).drop("rank"), "near-anchors")
+    spread = best.select("star", "c", "row", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "n", F.col("chunk").alias("own"))
+    spread = spread.where("chunk <> own").select("star", "c", "row", (F.col("n") + SLOTS).alias("n"), "chunk")  # before a chunk's own
+    held = stars.join(sizes.select("star"), "star", "left_anti").select("star", "c", "row", "n", F.lit(0).alias("chunk"))
+    held = held.unionByName(large.select("star", "c", "row", "n", "chunk")).unionByName(spread)
+    payload = sketches.select("row", "shingles", "counts")
+    none = F.lit(None).cast("binary").alias("label")
+    first = common.keep(_dealt(held.join(payload, "row").select("star", "chunk", F.lit(0).alias("block"), F.lit(0).alias("side"), "n", "c", none, "shingles", "counts"), _search), "near-links")
+    common.drop(best)
     label = components(first)
-    named = common.keep(large.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c")), "near-large")
-    main = named.groupBy("g", "label").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("label", "n").alias("main"))
-    cols = ["g", "chunk", "c", "label", "shingles", "counts"]
-    rest = named.join(main, "g").where("label <> main").drop("chunk").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rest = common.keep(rest.select(cols), "near-rest")
-    more = named.select(cols).groupBy("g", "chunk").cogroup(rest.groupBy("g", "chunk")).applyInPandas(_rest, EDGES)
-    return first.union(common.keep(more, "near-links"))
+    common.drop(kinds, first)
+    if not sizes.isEmpty():
+        label = _joined(large, label, payload)
+    common.drop(stars, sizes)
+    return label
+
+
+def _joined(large: DataFrame, label: DataFrame, payload: DataFrame) -> DataFrame:
+    """``label`` with the links between different chunks of large stars that their best-connected texts didn't show: an exact way for the rest.
+
+    Whatever isn't in its star's main class is compared with every chunk of the star, in blocks of a chunk's size.
+    """
+    named = large.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    named = common.keep(named.select("star", "c", "row", "chunks", "chunk", "label"), "near-large")
+    main = named.groupBy("star", "label").agg(F.count("*").alias("k")).groupBy("star").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    main = common.keep(main, "near-main")
+    rest = common.keep(named.join(main, "star").where("label <> main").drop("main"), "near-rest")
+    if not rest.isEmpty():
+        blocks = rest.groupBy("star").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+        blocks = common.keep(blocks, "near-blocks")
+        each = F.sequence(F.lit(0), F.col("blocks") - 1)
+        here = named.join(blocks, "star").select("star", "chunk", F.explode(each).alias("block"), F.lit(0).alias("side"), "c", "label", "row")
+        own = F.pmod(F.xxhash64("c", F.lit(1)), F.col("blocks")).cast("int").alias("block")
+        there = rest.join(blocks, "star").select("star", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), own, F.lit(1).alias("side"), "c", "label", "row")
+        rows = here.union(there).join(payload, "row").withColumn("n", F.lit(0).cast("long"))
+        more = common.keep(_dealt(rows, _rest), "near-links")
+        if not more.isEmpty():
+            joint = components(more).select(F.col("node").alias("label"), F.col("label").alias("joint"))
+            # a text without a link of its own has itself as label
+            alone = joint.join(label.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), F.col("joint").alias("label"))
+            label = common.keep(label.join(joint, "label", "left").select("node", F.coalesce("joint", "label").alias("label")).union(alone), "near-labels")
+        common.drop(more, blocks)
+    common.drop(named, main, rest)
+    return label
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -263,7 +330,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``class_id`` (the least id in its class), ``c`` (content key), ``n_docs`` (rows in the class); one row for each row of ``docs``."""
     sketches = sketch(docs)
-    label = components(links(sketches)).withColumnRenamed("node", "c")
+    label = labels(sketches).withColumnRenamed("node", "c")
     each = sketches.groupBy("c").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     each = each.join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
     whole = each.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_docs"))
