@@ -70,6 +70,14 @@ def test_line_dedup(odd, none):
     assert line_dedup.drop_lines(none).count() == 0
 
 
+def test_hot_lines_are_dealt_by_their_count(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PROBES", 5)  # one line takes 200 probe tasks
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 300)
+    rows = [(k, f"{LINE}\nown line number {k // 2} of its own") for k in range(1000)]
+    out = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((repr(r["doc_id"]), r["text"]) for r in out.collect()) == plain_line_dedup(rows)
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(0).integers(0, 2**63, 50_000).astype(np.uint64)
     h = line_dedup.PerfectHash.load(line_dedup.PerfectHash.build(keys).dump())
@@ -144,20 +152,48 @@ def test_byte_bpe(odd, none):
 
 def test_chat_views(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "hello"), (1, 3, "ann", None), (2, 300, "ann", "late"), (2, 0, "bob", ""), (None, None, None, "x"), (3, 0, "system", "alone"), (4, 0, "ann", "twice"), (4, 0, "ann", "twice")]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("part", "participant", "turns", "lines", "of", "own", "mask")})
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("part", "participant", "turns", "lines", "of", "own", "mask", "start")})
     out = {(r["conv_id"], r["participant"], r["part"]): r for r in chat.views(df).collect()}
-    assert set(out) == {(1, "ann", 0), (1, "bob", 0), (2, "ann", 0), (2, "ann", 1), (2, "bob", 0), (2, "bob", 1), (None, "unknown", -1), (4, "ann", 0)}
+    assert set(out) == {(1, "ann", 0), (1, "bob", 0), (2, "ann", 0), (2, "bob", 0), (None, "unknown", 0), (4, "ann", 0)}
     r = out[1, "ann", 0]
     assert r["rendered"] == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\nhello<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     spans = [tuple(map(int, x.split(":"))) for x in r["mask"].split(",")]
     assert [r["rendered"][a:b] for a, b in spans] == ["hi<|im_end|>\n", "<|im_end|>\n"]
-    assert out[2, "ann", 0]["mask"] == "" and out[4, "ann", 0]["n_turns"] == 2
+    assert out[2, "ann", 0]["n_turns"] == out[4, "ann", 0]["n_turns"] == 2
+    assert out[2, "bob", 0]["rendered"][slice(*map(int, out[2, "bob", 0]["mask"].split(":")))] == "<|im_end|>\n"
     assert chat.views(df.limit(0)).count() == 0
 
 
+def test_long_dialogues_are_one_text(spark):
+    """However its rows are cut, the same text and mask; a dialogue of 300 turns with wide numbers is one row."""
+    rng = random.Random(5)
+    turns = [(c, rng.choice([None, k // 2 * 1000]), rng.choice(["system", "ann", "bob", "Zoë", None]), f"t{rng.randrange(99)}é") for c in (None, 1, 2) for k in range(300 if c else 40)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    whole = {(r["conv_id"], r["participant"]): r for r in chat.views(df).collect()}
+    assert len(whole) == 12 and {r["part"] for r in whole.values()} == {0} and whole[1, "ann"]["n_turns"] == 300
+    pieces = collections.defaultdict(list)
+    for r in chat.views(df, longest=7).orderBy("part").collect():
+        assert r["start"] == sum(len(x["rendered"]) for x in pieces[r["conv_id"], r["participant"]]) and r["n_turns"] <= 7
+        pieces[r["conv_id"], r["participant"]].append(r)
+    for key, r in whole.items():
+        assert "".join(x["rendered"] for x in pieces[key]) == r["rendered"]
+        assert ",".join(x["mask"] for x in pieces[key] if x["mask"]) == r["mask"]
+
+
 # --- 4 ----------------------------------------------------------------------
 
 
+def plain_top_k(rows, every, k):
+    """By row: ids and vectors of whole numbers, every pair, in Python's integers."""
+    fine = [(d, [math.floor(256 * x) for x in v]) for d, v in rows if d is not None and v is not None and all(x is not None and math.isfinite(256 * x) for x in v)]
+    out = []
+    for n, (q, a) in enumerate(fine):
+        if q % every == 0:
+            each = sorted((-max(-(2**63) + 1, min(2**63 - 1, sum(x * y for x, y in zip(a, b)))), d) for m, (d, b) in enumerate(fine) if m != n)[:k]
+            out += [(q, r, d, -s) for r, (s, d) in enumerate(each, 1)]
+    return sorted(out)
+
+
 @pytest.mark.parametrize("spread", [0.3, 0.0])
 def test_exact_search(spark, monkeypatch, spread):
     monkeypatch.setattr(exact_search, "SHARD", 90)
@@ -166,18 +202,14 @@ def test_exact_search(spark, monkeypatch, spread):
     rng = np.random.default_rng(1)
     m = np.concatenate([rng.normal(size=(300, 8)) * spread + 0.1, np.full((60, 8), 0.25)])
     rows = [(k, v.tolist()) for k, v in enumerate(m)]
-    bad = [(1000, None), (1050, []), (1100, [None] * 8), (1150, [math.nan] * 8), (1200, [math.inf] * 8), (1250, [1e30] * 8), (None, [0.5] * 8)]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumns({c: F.lit("own") for c in ("v", "part", "shard", "ids", "rank")})
-    got = sorted(map(tuple, exact_search.top_k(df, 20, 4).collect()))
-    v = np.floor(256 * m).astype(int)
-    want = []
-    for q in range(0, 360, 20):
-        s = v @ v[q]
-        order = [k for k in np.lexsort((np.arange(360), -s)).tolist() if k != q][:4]
-        want += [(q, r, k, int(s[k])) for r, k in enumerate(order, 1)]
-    assert got == sorted(want)
+    rows += [(1000, None), (1100, [None] * 8), (1150, [math.nan] * 8), (1200, [math.inf] * 8), (1220, [1e308]), (None, [0.5] * 8)]  # take no part
+    odd = [(1050, []), (1060, []), (1250, [1e30] * 8), (1260, [-1e30] + [1.0] * 7), (1280, [1e6, 1.0]), (1300, [3e4, -2.5] * 4), (7, [0.5] * 8), (20, [0.75] * 8), (20, [-0.75] * 8)]
+    for more in ([], odd):
+        df = spark.createDataFrame(rows + more, "vec_id long, embedding array<double>").withColumns({c: F.lit("own") for c in ("x", "row", "part", "shard", "ids", "rank")})
+        assert sorted(map(tuple, exact_search.top_k(df, 20, 4).collect())) == plain_top_k(rows + more, 20, 4)
     assert exact_search.top_k(df.limit(0), 20, 4).count() == 0
-    assert exact_search.top_k(df.where("vec_id < 3"), 1, 5).count() == 6
+    few = [(k, [0.5]) for k in range(3)]
+    assert exact_search.top_k(spark.createDataFrame(few, "vec_id long, embedding array<double>"), 1, 5).count() == 6
 
 
 # --- 5 ----------------------------------------------------------------------
@@ -309,6 +341,23 @@ def test_quality_verdict(spark, sf, odd, none, labels):
     assert quality.judged(odd, labels.limit(0), "v").where("v.kept = v.base_failed").count() == 0  # no target: only base rules
 
 
+@pytest.mark.parametrize("low", [None, 3, (1 << 62) - 1])
+def test_repeated_words_at_any_length(spark, monkeypatch, low):
+    """Positions that don't fit beside a hash, and windows that share a prefix only (all do when no bits of the hash are left)."""
+    if low is not None:
+        monkeypatch.setattr(quality, "LOW", low)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcd") for _ in range(n)) for n in (0, 3, 5, 6, 9, 30, 200)] + [" ".join(f"w{rng.randrange(40)}" for _ in range(300))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r["n"] for r in df.select(quality._repeat_words(quality.words(F.col("text"))).alias("n")).collect()]
+    want = []
+    for t in texts:
+        w = t.split()
+        seen = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        want.append(len({k + x for k in range(len(w) - 2) if seen[tuple(w[k : k + 3])] > 1 for x in range(3)}))
+    assert got == want
+
+
 def test_ratios_are_plain_counts(spark, labels):
     df = spark.createDataFrame([(5, "a b"), (1, "b b c")], "doc_id long, text string")
     got = quality.ratios(df, labels, 64)
@@ -337,8 +386,63 @@ def test_licenses(spark, none):
     assert {k: sorted(x[0] for x in v) for k, v in found.items()} == {1: ["MIT"], 2: ["Apache-2.0"], 3: ["GPL-2.0"], 4: ["CC-BY-NC-4.0"], 9: ["CC-BY-4.0", "MIT"], 10: ["GPL-3.0"], 11: ["MIT"]}
     assert found[10][0][2:] == ("license", "licence") and found[1][0][1] == "Released under the MIT License"
     assert licenses.find(none).count() == 0
-    for name, text in licenses.TEMPLATES.items():
-        assert licenses.ranked([w for w, _, _ in licenses.words(text)])[0][1] == name
+    for n, (name, text) in enumerate(licenses.TEMPLATES.items()):
+        assert licenses.ranked([w for w, _, _ in licenses.words(text)], list(range(len(licenses.TEMPLATES))))[0][1] == n, name
+    rows = [(None, texts[1]), (None, texts[1]), (2, texts[1])]  # null ids and repeated rows are scanned each by itself
+    assert [r["license"] for r in licenses.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == ["MIT"] * 3
+
+
+def plain_licenses(plain, templates):
+    """The closest wordings of all templates among all stretches, closest first, without overlap: (differing words, first, last + 1)."""
+    found = []
+    for t in templates:
+        for a in range(len(plain)):
+            for b in range(a + 1, min(len(plain), a + t.reach) + 1):
+                part, cost = plain[a:b], {}
+                for i in range(len(part) + 1):
+                    for k in range(len(t.words) + 1):
+                        ways = [0] if i == k == 0 else []
+                        if i and k and part[i - 1] == t.words[k - 1]:
+                            ways.append(cost[i - 1, k - 1])
+                        if i and not licenses._telling(part[i - 1]):
+                            ways.append(cost[i - 1, k] + 1)
+                        if k and not licenses._telling(t.words[k - 1]):
+                            ways.append(cost[i, k - 1] + 1)
+                        cost[i, k] = min(ways, default=999)
+                if cost[len(part), len(t.words)] <= t.slack:
+                    found.append((cost[len(part), len(t.words)], a, b))
+    out = []
+    for d, a, b in sorted(found, key=lambda x: (x[0], x[1], -x[2])):
+        if all(b <= x or a >= y for _, x, y in out):
+            out.append((d, a, b))
+    return sorted(out, key=lambda x: x[1])
+
+
+def test_every_block_against_every_template(monkeypatch):
+    texts = ["MIT", "CC-BY-4.0", "CC-BY-SA-4.0", "Apache-2.0"]
+    index = licenses.indexed([licenses.Template(n, licenses.TEMPLATES[n]) for n in texts])
+    monkeypatch.setattr(licenses, "_templates", lambda: index)
+    rng = random.Random(2)
+    for _ in range(25):
+        plain = []
+        for _ in range(rng.randint(1, 3)):
+            part = [w for w, _, _ in licenses.words(licenses.TEMPLATES[rng.choice(texts)])]
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                k = rng.randrange(len(part))
+                part[k : k + rng.randint(0, 1)] = rng.choice([[], ["word"], ["4.0"], ["mit"]])
+            plain += part + [rng.choice(["by", "the", "a", "license"]) for _ in range(rng.randint(0, 4))]
+        text = " ".join(plain)
+        at = {a: i for i, (_, a, _) in enumerate(licenses.words(text))}
+        got = [(len((r[4] + " " + r[5]).split()), at[r[0]]) for r in licenses.scan(text)]
+        assert got == [(d, a) for d, a, _ in plain_licenses(plain, index[0])], text
+
+
+def test_texts_and_headings():
+    """Whole licence texts, standard headers and titles; a title counts only as a line of its own."""
+    for name, text in licenses.TEXTS:
+        assert name in [r[2] for r in licenses.scan(f"code\n{text}\ncode")], name
+    assert [r[2] for r in licenses.scan("The MIT License (MIT)\n\nCopyright (c) someone")] == ["MIT"]
+    assert licenses.scan("they like the MIT License best") == [] == licenses.scan("mit by 4.0 and gnu " * 5000)
 
 
 # --- 10 ---------------------------------------------------------------------
