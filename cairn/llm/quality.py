@@ -33,7 +33,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SCALE = 1_000_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-LOW = (1 << 24) - 1  # positions of a text's words; the rest of a long holds a window's hash
+LOW = (1 << 24) - 1  # positions that share a long with the upper bits of a window's hash
 
 
 def let(value: Column, body) -> Column:
@@ -48,22 +48,34 @@ def words(text: Column) -> Column:
 def _repeat_words(w: Column) -> Column:
     """Words within 3-word windows that the text holds twice or more.
 
-    Sorting (hash prefix, position) longs puts equal windows next to each other; whole hashes then decide.
+    Sorting (hash prefix, position) longs puts equal windows next to each other; whole hashes then decide. Where two windows share a
+    prefix only, or positions don't fit beside it, (hash, position) pairs are sorted instead: slower, and right for any text.
     """
     hashes = F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    upper = ~LOW
+    no = F.lit(False)
+
+    def words_of(starts):
+        return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
+
+    def by_pairs(h):
+        def flagged(p):
+            same = lambda x, y: F.coalesce(x["h"] == y["h"], no)
+            return words_of(F.transform(F.filter(p, lambda x, i: same(x, F.get(p, i + 1)) | same(x, F.get(p, i - 1))), lambda x: x["i"]))
+
+        return let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), flagged)
 
     def covered(h):
-        packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~LOW)).bitwiseOR(i.cast("long"))))
+        packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(upper)).bitwiseOR(i.cast("long"))))
 
         def flagged(p):
             at = lambda x: F.get(h, x.bitwiseAND(F.lit(LOW)).cast("int"))
-            twin = lambda x, y: F.coalesce(at(x) == at(y), F.lit(False))
-            near = lambda x, y: F.coalesce(x.bitwiseXOR(y).bitwiseAND(F.lit(~LOW)) == 0, F.lit(False))
-            hit = F.filter(p, lambda x, i: (near(x, F.get(p, i + 1)) & twin(x, F.get(p, i + 1))) | (near(x, F.get(p, i - 1)) & twin(x, F.get(p, i - 1))))
-            starts = F.transform(hit, lambda x: x.bitwiseAND(F.lit(LOW)).cast("int"))
-            return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
+            near = lambda x, y: F.coalesce(x.bitwiseXOR(y).bitwiseAND(F.lit(upper)) == 0, no)
+            hit = F.filter(p, lambda x, i: near(x, F.get(p, i + 1)) | near(x, F.get(p, i - 1)))
+            mixed = F.exists(F.transform(p, lambda x, i: near(x, F.get(p, i + 1)) & (at(x) != at(F.get(p, i + 1)))), lambda x: F.coalesce(x, no))
+            return F.when(mixed, by_pairs(h)).otherwise(words_of(F.transform(hit, lambda x: x.bitwiseAND(F.lit(LOW)).cast("int"))))
 
-        return let(packed, flagged)
+        return F.when(F.size(h) > LOW, by_pairs(h)).otherwise(let(packed, flagged))
 
     return F.when(F.size(w) < 6, F.when(F.size(w) < 4, 0).otherwise(_few(w))).otherwise(
         let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h)))
