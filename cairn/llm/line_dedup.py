@@ -1,11 +1,11 @@
 """Line dedup (9): sharded minimal perfect hashes over distinct line hashes.
 
-Lines are grouped into their 64-bit key hashes, each with the number of documents
+Lines are grouped into their key hashes (64 bits and an independent fingerprint of 32), each with the number of documents
 that hold it and the largest such document. Hashes go to shards; every shard
 becomes one index row (a multi-level minimal perfect hash with packed fingerprint, count
 and keeper arrays). Documents' own hashes probe those arrays; line texts are never
-joined, and no array is broadcast: an index row goes to the few tasks that hold
-probes of its shard.
+joined, and no array is broadcast: an index row goes to the tasks that hold probes of its shard, as many as
+keep each at a bounded number of probes, so a line that a third of all documents hold is spread by its count.
 
 Null or empty text is one empty line. Null ids form one document of their own
 (they are told apart from every other id, and lose to any non-null id); rows that repeat an id count as one
@@ -30,8 +30,8 @@ UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAMMA = 1.5
 #: Keys of a shard, about: one index row stays near 5 MB at any corpus size.
 SHARD_KEYS = 200_000
-#: Probe tasks of each shard; a line that a third of all documents hold is spread over them.
-SPLITS = 8
+#: Probes that one task answers, about.
+PROBES = 50_000
 NULL_ID = -(2**63)
 
 
@@ -39,23 +39,26 @@ def line_key(line: str) -> str:
     return line.strip(WHITE).translate(UPPER)
 
 
-def _hashes(text: str | None, least: int) -> dict[int, None]:
-    out = {}
-    for line in set((text or "").split("\n")):
-        if len(line) >= least and len(key := line_key(line)) >= least:
-            out[xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))] = None
-    return out
+def _hash(key: str) -> tuple[int, int]:
+    """A key's hash and fingerprint, from one 128-bit hash."""
+    whole = xxhash.xxh3_128_intdigest(key.encode("utf-8", "surrogatepass"))
+    return whole & (2**64 - 1), whole >> 96
+
+
+def _hashes(text: str | None, least: int) -> set[tuple[int, int]]:
+    return {_hash(key) for line in set((text or "").split("\n")) if len(line) >= least and len(key := line_key(line)) >= least}
 
 
 def _pairs(least: int):
     def run(batches):
         for b in batches:
-            ids, hashes = [], []
+            ids, hashes, prints = [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = _hashes(t, least)
-                ids += [d] * len(h)
-                hashes += h
-            yield pa.record_batch([pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)), pa.array(ids, pa.int64())], ["h", "d"])
+                found = _hashes(t, least)
+                ids += [d] * len(found)
+                hashes += [h for h, _ in found]
+                prints += [f for _, f in found]
+            yield pa.record_batch([pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)), pa.array(np.array(prints, dtype=np.uint32).view(np.int32)), pa.array(ids, pa.int64())], ["h", "f", "d"])
 
     return run
 
@@ -114,56 +117,65 @@ class PerfectHash:
         return cls(levels)
 
 
-def _fingerprint(keys: np.ndarray) -> np.ndarray:
-    return (_mix(keys, 999) >> np.uint64(32)).astype(np.uint32)
+def _joint(h: np.ndarray, f: np.ndarray, seed: int) -> np.ndarray:
+    """The key that the perfect hash sees, of hash and fingerprint."""
+    with np.errstate(over="ignore"):
+        return _mix(h ^ _mix(f.astype(np.uint64), seed), seed)
 
 
 def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    keys = pdf["h"].to_numpy().view(np.uint64)
+    h, f, seed = pdf["h"].to_numpy().view(np.uint64), pdf["f"].to_numpy().view(np.uint32), 0
+    while len(np.unique(keys := _joint(h, f, seed))) < len(h):  # so that no two lines of a shard share a key
+        seed += 1
     index = PerfectHash.build(keys)
     slot = index.slots(keys)
     prints, counts, keeper = np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.int64)
-    prints[slot], counts[slot], keeper[slot] = _fingerprint(keys), np.minimum(pdf["n"].to_numpy(), 2**32 - 1), pdf["keeper"].to_numpy()
-    return pd.DataFrame({"shard": [key[0]], "mph": [index.dump()], "prints": [prints.tobytes()], "counts": [counts.tobytes()], "keepers": [keeper.tobytes()]})
+    prints[slot], counts[slot], keeper[slot] = f, np.minimum(pdf["n"].to_numpy(), 2**32 - 1), pdf["keeper"].to_numpy()
+    return pd.DataFrame({"shard": [key[0]], "seed": [seed], "mph": [index.dump()], "prints": [prints.tobytes()], "counts": [counts.tobytes()], "keepers": [keeper.tobytes()]})
+
+
+INDEX = "shard int, seed int, mph binary, prints binary, counts binary, keepers binary"
 
 
 def _probe(min_docs: int):
     def run(key: tuple, probes: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         if not len(probes) or not len(index):
-            return pd.DataFrame({"d": pd.Series(dtype="int64"), "h": pd.Series(dtype="int64")})
+            return pd.DataFrame({"d": pd.Series(dtype="int64"), "h": pd.Series(dtype="int64"), "f": pd.Series(dtype="int32")})
         row = index.iloc[0]
         prints, counts, keepers = (np.frombuffer(row[c], t) for c, t in (("prints", np.uint32), ("counts", np.uint32), ("keepers", np.int64)))
-        h, d = probes["h"].to_numpy().view(np.uint64), probes["d"].to_numpy()
-        slot = PerfectHash.load(row["mph"]).slots(h)
+        h, f, d = probes["h"].to_numpy().view(np.uint64), probes["f"].to_numpy().view(np.uint32), probes["d"].to_numpy()
+        slot = PerfectHash.load(row["mph"]).slots(_joint(h, f, int(row["seed"])))
         ok = slot >= 0
-        ok[ok] = prints[slot[ok]] == _fingerprint(h[ok])
+        ok[ok] = prints[slot[ok]] == f[ok]
         ok[ok] = (counts[slot[ok]] >= min_docs) & (keepers[slot[ok]] != d[ok])
-        return pd.DataFrame({"d": d[ok], "h": h[ok].view(np.int64)})
+        return pd.DataFrame({"d": d[ok], "h": h[ok].view(np.int64), "f": f[ok].view(np.int32)})
 
     return run
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """``d`` (null ids as the least long), ``drop``: the key hashes whose lines document d loses."""
-    spark = docs.sparkSession
-    found = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), "text").mapInArrow(_pairs(min_chars), "h long, d long")
+    """``d`` (null ids as the least long), ``drop``: hash and fingerprint of the lines that document d loses."""
+    found = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), "text").mapInArrow(_pairs(min_chars), "h long, f int, d long")
     pairs = common.keep(found.distinct(), "line-pairs")
-    lines = pairs.groupBy("h").agg(F.count("*").alias("n"), F.max("d").alias("keeper"))
     shards = max(1, -(-pairs.count() // SHARD_KEYS))
     shard = F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard")
-    index = lines.select("h", "n", "keeper", shard).groupBy("shard").applyInPandas(_build, "shard int, mph binary, prints binary, counts binary, keepers binary")
-    index = common.keep(index, "line-index").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
-    probes = pairs.select("h", "d", shard, F.pmod(F.xxhash64("d"), F.lit(SPLITS)).cast("int").alias("part"))
-    hits = probes.groupBy("shard", "part").cogroup(index.groupBy("shard", "part")).applyInPandas(_probe(min_docs), "d long, h long")
-    return hits.groupBy("d").agg(F.collect_list("h").alias("drop"))
+    lines = pairs.groupBy("h", "f").agg(F.count("*").alias("n"), F.max("d").alias("keeper"))
+    # a shard has as many probe tasks as its probes need; most have the share of the whole that makes one
+    splits = pairs.groupBy(shard).agg(F.ceil(F.count("*") / PROBES).cast("int").alias("splits"))
+    splits = common.keep(splits, "line-splits")
+    index = common.keep(lines.select("h", "f", "n", "keeper", shard).groupBy("shard").applyInPandas(_build, INDEX), "line-index")
+    index = index.join(splits, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits")
+    probes = pairs.select("h", "f", "d", shard).join(splits, "shard").withColumn("part", F.pmod(F.xxhash64("d"), F.col("splits")).cast("int")).drop("splits")
+    hits = probes.groupBy("shard", "part").cogroup(index.groupBy("shard", "part")).applyInPandas(_probe(min_docs), "d long, h long, f int")
+    return hits.groupBy("d").agg(F.collect_list(F.struct("h", "f")).alias("drop"))
 
 
 def _cut(text: str | None, drop, least: int) -> tuple[list[str], int]:
     lines = (text or "").split("\n")
     if drop is None or not len(drop):
         return lines, 0
-    gone = set(np.asarray(drop, dtype=np.int64).view(np.uint64).tolist())
-    kept = [x for x in lines if len(x) < least or len(k := line_key(x)) < least or xxhash.xxh3_64_intdigest(k.encode("utf-8", "surrogatepass")) not in gone]
+    gone = {(x["h"] & (2**64 - 1), x["f"] & (2**32 - 1)) for x in drop}
+    kept = [x for x in lines if len(x) < least or len(k := line_key(x)) < least or _hash(k) not in gone]
     return kept, len(lines) - len(kept)
 
 
