@@ -2,7 +2,7 @@
 
 Every task packs its own pieces by best fit, longest first. Bins that are nearly full are
 final. The others become items of the next round: they are dealt to fewer tasks and packed
-again, as wholes, until one task is left or a round gains next to nothing. Only bins move
+again, as wholes, until one task has packed all that were left or a round closes less than a hundredth of them. Only bins move
 between rounds, as (bin, length) rows; a round has as many tasks as keep each at a bounded
 number of bins, so no task gathers a whole corpus.
 
@@ -86,7 +86,7 @@ def _cut_and_pack(path: str, size: int):
 
 def _repack(size: int, level: int):
     def run(batches):
-        first, held = _first_id() | level << 60, []
+        first, held = _first_id() + (level << 56), []
 
         def pack(held):
             ids, fills = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
@@ -116,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     open_ = F.col("fill") < size - ROOM
     todo = items.where((F.col("at") == 0) & open_).select("bin", "fill")
     moved, left, level = [], todo.count(), 0
-    while left > 1 and level < 7:
+    while left > 1:
         level += 1
         tasks = -(-left // TASK_ITEMS)
         step = common.keep(todo.repartition(tasks, F.xxhash64("bin", F.lit(level))).mapInArrow(_repack(size, level), "bin long, up long, at long, fill long"), "pack-bins")
