@@ -566,6 +566,8 @@ def score(docs: DataFrame) -> DataFrame:
     store = common.keep(texts.mapInArrow(_read(shards), READ), "lm-read")
     asked = store.where("shard >= 0").select("shard", "batch", "words", "train", "start")
     merged = common.keep(asked.groupBy("shard").applyInArrow(_merge, MERGED), "lm-shards")
+    parts = common.keep(store.where("shard < 0").select("batch", "docs", "n", "tokens", "places", "start"), "lm-texts")
+    common.drop(store)  # what a step has used up doesn't wait on disk for the end
 
     def sizes(batches):
         for row in _rows(batches):
@@ -589,8 +591,7 @@ def score(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(at + base[row["shard"]])], ["u"])
 
     hot = np.array(sorted(r["u"] for r in vocabulary.mapInArrow(frequent, "u long").collect()), np.uint64)
-    parts = store.where("shard < 0").select("batch", "docs", "n", "tokens", "places", "start")
-    numbers = common.keep(merged.mapInArrow(_numbers(base), NUMBERS), "lm-numbers")
+    numbers = merged.select("shard", "batches", "starts", "asked").mapInArrow(_numbers(base), NUMBERS)
     asked = parts.groupBy("batch").cogroup(numbers.groupBy("batch")).applyInArrow(_pairs(hot, shards), ASKED)
     asks = common.keep(asked.groupBy("shard").applyInArrow(_gather, ASKS), "lm-pairs")
     rooms = common.keep(asks.mapInArrow(_rooms, ROOMS), "lm-rooms")
@@ -610,6 +611,7 @@ def score(docs: DataFrame) -> DataFrame:
             own = sums.where("word_shard < 0").select("shard", F.lit(sweep).alias("sweep"), "n")
             if len(hot):
                 hot_tables = followers + central(rooms.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(_hot_more(hot), "u long, n long"))
+            common.drop(shares)
             words = common.keep(first.groupBy("shard").cogroup(sums.where("word_shard >= 0").groupBy("word_shard")).applyInArrow(_more_words, WORDS), "lm-words")
         cells = words.mapInArrow(_spellings(speller, sweep, all_tables), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 0").toPandas().sort_values("cell")
         all_tables, customers = (float(cells.loc[cells["cell"] == k, "n"].sum()) for k in (-1, -2))
@@ -617,10 +619,13 @@ def score(docs: DataFrame) -> DataFrame:
         speller = Speller(cells["cell"].to_numpy(), cells["n"].to_numpy(), _rng(sweep, -1 % 2**32))
         known = vocabulary.mapInArrow(_known(speller), "mass double").agg(F.sum("mass")).first()[0] or 0.0
         shares = common.keep(words.mapInArrow(_shares(speller, sweep, customers, all_tables, max(1e-9, 1 - known)), SHARES), "lm-shares")
+        if sweep:
+            common.drop(words)
         if sweep >= BURN_IN:
-            kept.append(shares.where("shard < 0").select(F.col("word_shard").alias("shard"), F.lit(sweep).alias("sweep"), "p"))
+            kept.append(common.keep(shares.where("shard < 0").select(F.col("word_shard").alias("shard"), F.lit(sweep).alias("sweep"), "p"), "lm-kept"))
             more.append(own)
             hots.append(hot_tables)
+    common.drop(shares, first, rooms)
     every = lambda tables: functools.reduce(DataFrame.union, tables)
     answers = merged.groupBy("shard").cogroup(every(kept).groupBy("shard")).applyInArrow(_word_answers, ANSWERS)
     answers = answers.union(asks.groupBy("shard").cogroup(every(more).groupBy("shard")).applyInArrow(_pair_answers(hot, hots), ANSWERS))
