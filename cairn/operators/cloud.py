@@ -10,29 +10,42 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from . import stats
+from .session import clouds, cut
 
 
 def project(df: DataFrame, *extra: str) -> DataFrame:
     """Identity and coordinates, as doubles."""
-    return df.select("point_id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z")], *extra)
+    return df.select(*clouds(df), "point_id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z")], *extra)
 
 
-def reindex(df: DataFrame, order: Sequence[str | Column], name: str = "position") -> DataFrame:
-    """Dense positions from 0 in the given order, without sorting everything in one task.
+def reindex(df: DataFrame, order: Sequence[str | Column], name: str = "position", by: Sequence[str] = ()) -> DataFrame:
+    """Dense positions from 0 in the given order, within each group of ``by``, without sorting everything in one task.
 
-    Rows are dealt by range; a row's position is its rank within its range plus the sizes of the ranges before.
+    Rows are dealt by range; a row's position is its rank within its range plus the sizes of the ranges before. Ranks and ranges are kept
+    before sizes are taken, as another run of the same plan may deal rows otherwise.
     """
-    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    keys = [*map(F.col, by), *(F.col(c) if isinstance(c, str) else c for c in order)]
     dealt = df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id())
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(*keys)))
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # one row a partition
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return ranked.join(F.broadcast(before), "_range").withColumn(name, F.col("_rank") + F.col("_before") - 1).drop("_range", "_rank", "_before")
+    ranked = cut(dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_range", *by).orderBy(*keys))))
+    sizes = ranked.groupBy(*by, "_range").agg(F.count("*").alias("_n"))  # one row a partition, and one more for each group
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return same_cloud(ranked, before, [*by, "_range"]).withColumn(name, F.col("_rank") + F.col("_before") - 1).drop("_range", "_rank", "_before")
+
+
+def same_cloud(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on ``by`` (nulls are equal); with no columns, with its one row."""
+    if not by:
+        return left.join(F.broadcast(right), how=how) if how != "left" else left.join(F.broadcast(right), F.lit(True), "left")
+    other = right.withColumnsRenamed({c: f"_same_{c}" for c in by})
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in by])
+    return left.join(other, on, how).drop(*[f"_same_{c}" for c in by])
 
 
 def gather(df: DataFrame, ids: DataFrame, unique: bool = True) -> DataFrame:
-    """Rows of the given ids; with ``unique`` false, once for each time an id is listed."""
-    return df.join(ids.select("point_id"), "point_id", "left_semi" if unique else "inner")
+    """Rows of the given ids (of the given clouds, if the ids name them); with ``unique`` false, once for each time an id is listed."""
+    keys = ["point_id", *(c for c in clouds(ids) if c in df.columns)]
+    return df.join(ids.select(*keys), keys, "left_semi" if unique else "inner")
 
 
 def box(df: DataFrame, lo: Sequence[float | None], hi: Sequence[float | None]) -> DataFrame:
@@ -46,25 +59,26 @@ def box(df: DataFrame, lo: Sequence[float | None], hi: Sequence[float | None]) -
 crop = box
 
 
-def low_slab(df: DataFrame, height: float = 0.2) -> DataFrame:
-    """The region of interest of descriptor runs: y and z at most ``height`` above their least value."""
-    edge = stats.bounds(df).select("min_y", "min_z")  # one row
-    return df.join(F.broadcast(edge)).where((F.col("y") <= F.col("min_y") + height) & (F.col("z") <= F.col("min_z") + height)).drop("min_y", "min_z")
+def low_slab(df: DataFrame, height: float = 0.2, by: Sequence[str] | None = None) -> DataFrame:
+    """The region of interest of descriptor runs: y and z at most ``height`` above their least value in the cloud."""
+    by = clouds(df, by)
+    edge = stats.bounds(df, by).select(*by, "min_y", "min_z")  # one row a cloud
+    return same_cloud(df, edge, by).where((F.col("y") <= F.col("min_y") + height) & (F.col("z") <= F.col("min_z") + height)).drop("min_y", "min_z")
 
 
-def standardize(df: DataFrame, cols: Sequence[str] = ("x", "y", "z")) -> DataFrame:
-    """Zero mean and unit population deviation; a constant column becomes 0."""
-    one = df.agg(*[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    out = df.join(F.broadcast(one))
+def standardize(df: DataFrame, cols: Sequence[str] = ("x", "y", "z"), by: Sequence[str] | None = None) -> DataFrame:
+    """Zero mean and unit population deviation of each cloud; a constant column becomes 0."""
+    by = clouds(df, by)
+    out = same_cloud(df, df.groupBy(*by).agg(*[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))]), by)
     for c in cols:
         s = F.col(f"_s_{c}")
         out = out.withColumn(c, (F.col(c) - F.col(f"_m_{c}")) / F.when(s == 0, 1.0).otherwise(s))
     return out.select(*df.columns)
 
 
-def centre(df: DataFrame, cols: Sequence[str] = ("x", "y", "z")) -> DataFrame:
-    one = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
-    out = df.join(F.broadcast(one))
+def centre(df: DataFrame, cols: Sequence[str] = ("x", "y", "z"), by: Sequence[str] | None = None) -> DataFrame:
+    by = clouds(df, by)
+    out = same_cloud(df, df.groupBy(*by).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols]), by)
     return out.select(*[(F.col(c) - F.col(f"_m_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 

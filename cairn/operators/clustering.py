@@ -5,15 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from . import graph, neighbors
-from .session import cut
+from . import cloud, graph, neighbors
+from .session import clouds, cut
 
 AXES = ("x", "y", "z")
 
@@ -71,6 +72,36 @@ def kmeans(df: DataFrame, k: int, init: list[list[float]] | None = None, max_ite
     return model
 
 
+def kmeans_by(df: DataFrame, k: int, by: Sequence[str], max_iter: int = 300, tol: float = 1e-4, cols: Sequence[str] = AXES) -> DataFrame:
+    """``df`` with ``cluster``: Lloyd's rounds of every cloud at once, each from its k rows of least id and until its own centres rest.
+
+    The centres are a table of one row a cloud, joined to the points; a round is one aggregation for all clouds.
+    """
+    by, at = list(by), F.array(*cols)
+    first = df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("point_id"))).where(F.col("_k") <= k)
+    centers = first.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("point_id", at.cast("array<double>").alias("c")))).alias("s"))
+    centers = cut(centers.select(*by, F.transform("s", lambda x: x["c"]).alias("centers"), F.lit(False).alias("still")))
+
+    def gap(c: Column) -> Column:
+        return F.sqrt(F.aggregate(F.zip_with(F.array(*[F.col(x).cast("double") for x in cols]), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
+
+    def labelled(points: DataFrame, fitted: DataFrame) -> DataFrame:
+        gaps = F.transform("centers", lambda c, j: F.struct(gap(c).alias("d"), j.cast("int").alias("k")))
+        return cloud.same_cloud(points, fitted.select(*by, "centers"), by).withColumn("cluster", F.array_min(gaps)["k"]).drop("centers")
+
+    for _ in range(max_iter):
+        means = labelled(df, centers.where("not still")).groupBy(*by, "cluster").agg(F.array(*[F.avg(c) for c in cols]).alias("c"))
+        new = means.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "c"))).alias("m"))
+        new = cloud.same_cloud(centers, new, by, "left")
+        moved = F.when(F.col("m").isNull(), F.col("centers")).otherwise(F.transform("centers", lambda c, j: F.coalesce(F.col("m")[j.cast("int")], c)))
+        new = new.withColumn("next", moved)
+        far = F.array_max(F.flatten(F.zip_with("centers", "next", lambda a, b: F.zip_with(a, b, lambda x, y: F.abs(x - y)))))
+        centers = cut(new.select(*by, F.col("next").alias("centers"), (F.col("still") | (far < tol)).alias("still")))
+        if centers.where("not still").isEmpty():
+            break
+    return labelled(df, centers)
+
+
 def _log_weights(cols: list[Column], model: Model) -> list[Column]:
     return [F.lit(math.log(w) if w > 0 else -1e300) + g.log_gaussian(cols, m, v) for w, m, v in zip(model.weights, model.centers, model.variances, strict=True)]
 
@@ -130,19 +161,31 @@ def gmm_diag(df: DataFrame, k: int, init: list[list[float]] | None = None, max_i
     return model
 
 
-def dbscan(df: DataFrame, r: float = 1.0, min_sample: int = 20) -> DataFrame:
+def dbscan(df: DataFrame, r: float = 1.0, min_sample: int = 20, by: Sequence[str] | None = None) -> DataFrame:
     """point_id, is_core, cluster: the least core id of the cluster, -1 for noise.
 
     A core point has at least ``min_sample`` points within r, itself included; clusters are components of core points within r; another
-    point near core points joins the least of their clusters.
+    point near core points joins the least of their clusters. Points of one cell with diagonal r are all neighbours: a cell of ``min_sample`` points
+    needs no counting, and cells are what is linked, so no pair of points is ever written.
     """
-    pairs = cut(neighbors.radius_join(df, df, r).select(F.col("query_id").alias("src"), F.col("neighbor_id").alias("dst")))
-    core = cut(pairs.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= min_sample).select(F.col("src").alias("point_id")))
-    inner = pairs.join(core.withColumnRenamed("point_id", "src"), "src", "left_semi").join(core.withColumnRenamed("point_id", "dst"), "dst", "left_semi")
-    label = graph.connected_components(core, inner)
-    border = pairs.join(label.withColumnRenamed("point_id", "dst"), "dst").groupBy(F.col("src").alias("point_id")).agg(F.min("label").alias("near"))
-    out = df.select("point_id").join(label, "point_id", "left").join(border, "point_id", "left")
-    return out.select("point_id", F.col("label").isNotNull().alias("is_core"), F.coalesce("label", "near", F.lit(-1)).cast("long").alias("cluster"))
+    by = clouds(df, by)
+    cell = ["_ci", "_cj", "_ck"]
+    size = r / math.sqrt(3) * (1 - 1e-9) if r > 0 else 1.0
+    points = df.select(*by, "point_id", *AXES).withColumns({c: F.floor(F.col(a) / size) for c, a in zip(cell, AXES, strict=True)})
+    if r <= 0:  # only points in one place are neighbours
+        points = points.withColumns(dict(zip(cell, map(F.col, AXES), strict=True)))
+    points = cut(points.withColumn("_n", F.count("*").over(Window.partitionBy(*by, *cell))))
+    counted = neighbors.radius_join(points.where(F.col("_n") < min_sample), points, r, by=by).groupBy(*by, F.col("query_id").alias("point_id")).agg(F.count("*").alias("n"))
+    sparse = points.join(counted.where(F.col("n") >= min_sample).select(*by, "point_id"), [*by, "point_id"], "left_semi")
+    core = points.where(F.col("_n") >= min_sample).union(sparse)
+    core = cut(core.withColumn("node", F.min("point_id").over(Window.partitionBy(*by, *cell))))
+    links = neighbors.radius_join(core, core, r, by=by, carry=["node"]).where("q_node < n_node").select(*by, F.col("q_node").alias("src"), F.col("n_node").alias("dst")).distinct()
+    label = graph.connected_components(core, links, "node", by)
+    core = cut(core.join(label, [*by, "node"]).select(*by, "point_id", *AXES, "label"))
+    rest = points.join(core.select(*by, "point_id"), [*by, "point_id"], "left_anti")
+    near = neighbors.radius_join(rest.withColumn("label", F.lit(None).cast("long")), core, r, by=by, carry=["label"]).groupBy(*by, F.col("query_id").alias("point_id")).agg(F.min("n_label").alias("near"))
+    out = df.select(*by, "point_id").join(core.select(*by, "point_id", "label"), [*by, "point_id"], "left").join(near, [*by, "point_id"], "left")
+    return out.select(*by, "point_id", F.col("label").isNotNull().alias("is_core"), F.coalesce("label", "near", F.lit(-1)).cast("long").alias("cluster"))
 
 
 def _dense_eigenvectors(k: int):
@@ -161,45 +204,85 @@ def _dense_eigenvectors(k: int):
     return run
 
 
-def _iterated_eigenvectors(edges: DataFrame, k: int, rounds: int) -> DataFrame:
-    """Subspace iteration on D^-1/2 W D^-1/2 + I: a sparse product by join and sum, then a k by k Cholesky factor on the driver."""
+def _iterated_eigenvectors(edges: DataFrame, k: int, tol: float, extra: int = 8, degree: int = 10) -> DataFrame:
+    """Subspace iteration on S = D^-1/2 W D^-1/2 with a Chebyshev filter, until the leading k residuals are below ``tol``.
+
+    A product is a join and a sum; a round is ``degree`` of them, which damp what lies below the least Ritz value of k + ``extra`` vectors,
+    then one aggregation whose small matrices are solved on the driver.
+    """
     d = graph.degree(edges)
     e = edges.join(d.select(F.col("src"), F.sqrt("degree").alias("a")), "src").join(d.select(F.col("src").alias("dst"), F.sqrt("degree").alias("b")), "dst")
     e = cut(e.select("src", "dst", (F.col("w") / (F.col("a") * F.col("b"))).alias("w")))
-    y = [f"y{j}" for j in range(k)]
-    v = cut(d.select(F.col("src").alias("n"), *[(F.rand(j + 1) if j else F.sqrt("degree")).alias(c) for j, c in enumerate(y)]))
-    for _ in range(rounds):
-        moved = e.join(v.withColumnRenamed("n", "dst"), "dst").groupBy(F.col("src").alias("n")).agg(*[F.sum(F.col("w") * F.col(c)).alias(f"m{c}") for c in y])
-        v = cut(v.join(moved, "n").select("n", *[(F.col(c) + F.col(f"m{c}")).alias(c) for c in y]))
-        gram = v.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a in y for b in y]).first()
-        back = np.linalg.inv(np.linalg.cholesky(np.array([[gram[f"{a}_{b}"] for b in y] for a in y]))).T
-        v = v.select("n", *[sum((F.col(a) * F.lit(float(back[i, j])) for i, a in enumerate(y) if i), F.col(y[0]) * F.lit(float(back[0, j]))).alias(c) for j, c in enumerate(y)])
-    out = v.join(d.withColumnRenamed("src", "n"), "n")
-    return out.select(F.col("n").alias("point_id"), F.array(*[F.col(c) / F.sqrt("degree") for c in y]).alias("v"))
-
-
-def spectral_embedding(edges: DataFrame, k: int, dense_limit: int = 4000, rounds: int = 60) -> DataFrame:
-    """point_id, v: the k eigenvectors of least eigenvalue of the random-walk Laplacian.
-
-    Up to ``dense_limit`` nodes one task takes the dense matrix; beyond, eigenvectors come from distributed subspace iteration.
+    m = k + extra
+    y, z = [f"y{j}" for j in range(m)], [f"z{j}" for j in range(m)]
+    v = cut(d.select(F.col("src").alias("n"), *[(F.sqrt("degree") if not j else F.hash("src", F.lit(j)) / float(2**31)).alias(c) for j, c in enumerate(y)]))
+
+    def times(t: DataFrame, cols: list[str], names: list[str]) -> DataFrame:
+        return e.join(t.select(F.col("n").alias("dst"), *cols), "dst").groupBy(F.col("src").alias("n")).agg(*[F.sum(F.col("w") * F.col(c)).alias(x) for c, x in zip(cols, names, strict=True)])
+
+    def mixed(t: DataFrame, cols: list[str], by: np.ndarray, names: list[str]) -> list[Column]:
+        return [sum((F.col(c) * F.lit(float(by[i, j])) for i, c in enumerate(cols) if i), F.col(cols[0]) * F.lit(float(by[0, j]))).alias(x) for j, x in enumerate(names)]
+
+    while True:
+        both = cut(v.join(times(v, y, z), "n"))
+        sums = both.agg(F.array(*[F.sum(F.col(a) * F.col(b)) for p, q in ((y, y), (y, z), (z, z)) for a in p for b in q])).first()[0]
+        vv, va, aa = np.array(sums).reshape(3, m, m)
+        unit = np.diag(1.0 / np.sqrt(np.diag(vv)))
+        back = unit @ np.linalg.inv(np.linalg.cholesky(unit @ vv @ unit + 1e-13 * np.eye(m))).T
+        ritz, turn = np.linalg.eigh(back.T @ (va + va.T) / 2 @ back)
+        turn, ritz = (back @ turn)[:, ::-1], ritz[::-1]
+        left = [float(t @ aa @ t - 2 * x * (t @ va @ t) + x * x * (t @ vv @ t)) for t, x in zip(turn.T, ritz, strict=True)]
+        if max(left[:k]) < tol * tol:
+            out = both.select("n", *mixed(both, y, turn[:, :k], y[:k])).join(d.withColumnRenamed("src", "n"), "n")
+            return out.select(F.col("n").alias("point_id"), F.array(*[F.col(c) / F.sqrt("degree") for c in y[:k]]).alias("v"))
+        mid, half = (ritz[-1] - 1) / 2, max((ritz[-1] + 1) / 2, 1e-3)  # damp [-1, least Ritz value]
+        before = both.select("n", *mixed(both, y, turn, y))
+        here = both.select("n", *[((a - mid * b) / half).alias(c) for c, a, b in zip(y, mixed(both, z, turn, z), mixed(both, y, turn, y), strict=True)])
+        for _ in range(degree - 1):
+            after = times(here, y, z).join(here, "n").join(before.select("n", *[F.col(c).alias(f"b{c}") for c in y]), "n")
+            before, here = here, after.select("n", *[((F.col(a) - mid * F.col(c)) * 2 / half - F.col(f"b{c}")).alias(c) for c, a in zip(y, z, strict=True)])
+            if _ % 3 == 2:
+                both = cut(here.join(before.select("n", *[F.col(c).alias(f"b{c}") for c in y]), "n"))
+                here, before = both.select("n", *y), both.select("n", *[F.col(f"b{c}").alias(c) for c in y])
+        top = here.agg(*[F.max(F.abs(c)) for c in y]).first()
+        v = cut(here.select("n", *[(F.col(c) / F.lit(x or 1.0)).alias(c) for c, x in zip(y, top, strict=True)]))
+
+
+def spectral_embedding(edges: DataFrame, k: int, dense_limit: int = 4000, tol: float = 1e-6) -> DataFrame:
+    """point_id, v: the k eigenvectors of least eigenvalue of the random-walk Laplacian of one cloud's graph.
+
+    Up to ``dense_limit`` nodes one task takes the dense matrix; beyond, eigenvectors come from distributed subspace iteration,
+    which goes on until their residuals are below ``tol``: both give the same vectors up to that and to a turn within equal eigenvalues.
     """
     n = edges.select("src").distinct().count()
-    if n <= dense_limit:
+    if n <= max(dense_limit, k + 8):
         return edges.select("src", "dst", "w", F.lit(0).alias("one")).groupBy("one").applyInPandas(_dense_eigenvectors(k), "point_id long, v array<double>")
-    return _iterated_eigenvectors(edges, k, rounds)
+    return _iterated_eigenvectors(edges, k, tol)
 
 
-def spectral(df: DataFrame, k: int, n_neighbors: int = 10, sigma: float = 1.0, max_iter: int = 100) -> DataFrame:
-    """point_id, cluster: K-Means on the spectral embedding of the neighbour graph (fewer neighbours if there are fewer points)."""
+def spectral(df: DataFrame, k: int, n_neighbors: int = 10, sigma: float = 1.0, max_iter: int = 100, dense_limit: int = 4000) -> DataFrame:
+    """point_id, cluster: K-Means on the spectral embedding of the neighbour graph of one cloud (fewer neighbours if there are fewer points)."""
     n = df.count()
     if n < 2:
         return df.select("point_id", F.lit(0).alias("cluster"))
-    edges = cut(neighbors.knn_graph(df, min(n_neighbors, n - 1), sigma))
-    v = cut(spectral_embedding(edges, k).select("point_id", *[F.col("v")[j].alias(f"v{j}") for j in range(k)]))
+    edges = cut(neighbors.knn_graph(df, min(n_neighbors, n - 1), sigma, by=()))
+    v = cut(spectral_embedding(edges, k, dense_limit).select("point_id", *[F.col("v")[j].alias(f"v{j}") for j in range(k)]))
     cols = [f"v{j}" for j in range(k)]
     return kmeans(v, k, _far_apart(v, k, cols), max_iter, 1e-8, cols).predict(v).select("point_id", "cluster")
 
 
+def power_iteration(df: DataFrame, k: int, n_neighbors: int = 10, sigma: float = 1.0, max_iter: int = 20) -> DataFrame:
+    """point_id, cluster: Spark's power-iteration clustering of the neighbour graph of one cloud."""
+    from pyspark.ml.clustering import PowerIterationClustering
+
+    n = df.count()
+    if n < 2:
+        return df.select("point_id", F.lit(0).alias("cluster"))
+    edges = neighbors.knn_graph(df, min(n_neighbors, n - 1), sigma, by=()).where("src < dst")
+    found = PowerIterationClustering(k=k, maxIter=max_iter, weightCol="w", initMode="degree").assignClusters(cut(edges))
+    return found.select(F.col("id").alias("point_id"), "cluster")
+
+
 def _far_apart(df: DataFrame, k: int, cols: list[str]) -> list[list[float]]:
     """The row of least id, then k - 1 times the row farthest from those chosen."""
     chosen = first_rows(df, 1, cols)
@@ -213,21 +296,34 @@ def _far_apart(df: DataFrame, k: int, cols: list[str]) -> list[list[float]]:
     return chosen
 
 
-def cluster(df: DataFrame, method: str = "dbscan", **options) -> DataFrame:
-    """point_id, cluster by name of method: dbscan, kmeans, gmm, spectral; bisecting and gmm_full (full covariance) are Spark's own."""
+def cluster(df: DataFrame, method: str = "dbscan", by: Sequence[str] | None = None, **options) -> DataFrame:
+    """point_id, cluster by name of method: dbscan, kmeans, gmm, spectral; bisecting, gmm_full (full covariance) and power are Spark's own.
+
+    Clouds are clustered each by itself: dbscan and kmeans all at once, the others one cloud after the other.
+    """
+    by = clouds(df, by)
+    if method not in ("dbscan", "kmeans", "gmm", "spectral", "power", "bisecting", "gmm_full"):
+        raise ValueError(f"unknown method {method!r}")
     if method == "dbscan":
-        return dbscan(df, **options).select("point_id", "cluster")
+        return dbscan(df, by=by, **options).select(*by, "point_id", "cluster")
+    if method == "kmeans" and by:
+        return kmeans_by(df, by=by, **options).select(*by, "point_id", "cluster")
+    if by:
+        names = df.select(*by).distinct().orderBy(*by).collect()  # one row a cloud
+        each = []
+        for row in names:
+            same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(row[c])) for c in by])
+            each.append(cluster(df.where(same).drop(*by), method, (), **options).select(*[F.lit(row[c]).cast(df.schema[c].dataType).alias(c) for c in by], "point_id", "cluster"))
+        return reduce(DataFrame.union, each) if each else df.select(*by, "point_id", F.lit(0).alias("cluster"))
     if method == "kmeans":
         return kmeans(df, **options).predict(df).select("point_id", "cluster")
     if method == "gmm":
         return gmm_diag(df, **options).predict(df).select("point_id", "cluster")
-    if method == "spectral":
-        return spectral(df, **options)
-    if method in ("bisecting", "gmm_full"):
-        from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
-        from pyspark.ml.feature import VectorAssembler
-
-        rows = VectorAssembler(inputCols=list(AXES), outputCol="_f").transform(df)
-        kind = BisectingKMeans if method == "bisecting" else GaussianMixture
-        return kind(featuresCol="_f", predictionCol="cluster", seed=1, **options).fit(rows).transform(rows).select("point_id", "cluster")
-    raise ValueError(f"unknown method {method!r}")
+    if method in ("spectral", "power"):
+        return (spectral if method == "spectral" else power_iteration)(df, **options)
+    from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=list(AXES), outputCol="_f").transform(df)
+    kind = BisectingKMeans if method == "bisecting" else GaussianMixture
+    return kind(featuresCol="_f", predictionCol="cluster", seed=1, **options).fit(rows).transform(rows).select("point_id", "cluster")

@@ -3,117 +3,124 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from . import graph, neighbors, stats
+from . import cloud, neighbors, stats
+from .session import clouds, cut
 
 AXES = ("x", "y", "z")
 
 
-def _with_coordinates(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    p = points.select(F.col("point_id").alias("neighbor_id"), *[F.col(c) for c in AXES])
-    return pairs.join(p, "neighbor_id")
-
-
-def normals(points: DataFrame, k: int = 200, r: float | None = None) -> DataFrame:
+def normals(points: DataFrame, k: int = 200, r: float | None = None, by: Sequence[str] | None = None) -> DataFrame:
     """point_id, nx, ny, nz: the direction of least variance among the k nearest points (or those within r), itself included.
 
-    Moments are summed in the shuffle that groups neighbours; one LAPACK call per Arrow batch gives the vectors.
-    A point without a neighbourhood of two has no row.
+    Neighbours carry their coordinates and are dealt by query already, so moments need no further shuffle; one LAPACK call per Arrow batch
+    gives the vectors. A point without a neighbourhood of two has no row.
     """
+    by = clouds(points, by)
     if r is None:
-        pairs = _with_coordinates(neighbors.knn_join(points, points, k), points)
+        pairs = neighbors.knn_join(points, points, k, by=by, carry=AXES)
     else:
-        pairs = neighbors.radius_join(points, points, r, carry=AXES).select("query_id", *[F.col(f"n_{c}").alias(c) for c in AXES])
-    m = stats.covariance(pairs, ["query_id"]).where("xx is not null")
-    v = m.select(F.col("query_id").alias("point_id"), stats.eigenpairs(*[F.col(f"{a}{b}") for a, b in stats.UPPER])[2].alias("v"))
-    return v.select("point_id", *[F.col("v")[k].alias(n) for k, n in ((1, "nx"), (2, "ny"), (3, "nz"))])
+        pairs = neighbors.radius_join(points, points, r, by=by, carry=AXES)
+    m = stats.covariance(pairs.select(*by, "query_id", *[F.col(f"n_{c}").alias(c) for c in AXES]), [*by, "query_id"]).where("xx is not null")
+    v = m.select(*by, F.col("query_id").alias("point_id"), stats.eigenpairs(*[F.col(f"{a}{b}") for a, b in stats.UPPER])[2].alias("v"))
+    return v.select(*by, "point_id", *[F.col("v")[k].alias(n) for k, n in ((1, "nx"), (2, "ny"), (3, "nz"))])
 
 
 # --- salient points -------------------------------------------------------
 
 
-def weighted_scatter(points: DataFrame, r: float) -> DataFrame:
+def weighted_scatter(points: DataFrame, r: float, by: Sequence[str] | None = None) -> DataFrame:
     """Scatter of each point's neighbours about it, a neighbour weighing one over its own neighbour count.
 
-    Counts are taken once for all points and joined back.
+    Neighbourhood is mutual, so a neighbour's count is how often it is one: the pairs are joined once.
     """
-    pairs = neighbors.radius_join(points, points, r, carry=AXES)
-    counts = pairs.groupBy(F.col("query_id").alias("neighbor_id")).agg((1.0 / F.count("*")).alias("w"))
-    weighed = pairs.join(counts, "neighbor_id")
+    by = clouds(points, by)
+    pairs = neighbors.radius_join(points, points, r, by=by, carry=AXES)
+    weighed = pairs.withColumn("w", 1.0 / F.count("*").over(Window.partitionBy(*by, "neighbor_id")))
     d = {c: F.col(f"n_{c}") - F.col(f"q_{c}") for c in AXES}
     w = F.col("w")
-    return weighed.groupBy(F.col("query_id").alias("point_id")).agg(*[(F.sum(w * d[a] * d[b]) / F.sum(w)).alias(f"{a}{b}") for a, b in stats.UPPER])
+    return weighed.groupBy(*by, F.col("query_id").alias("point_id")).agg(*[(F.sum(w * d[a] * d[b]) / F.sum(w)).alias(f"{a}{b}") for a, b in stats.UPPER])
 
 
-def salient(points: DataFrame, r: float, ratio: float = 0.875) -> DataFrame:
+def salient(points: DataFrame, r: float, ratio: float = 0.875, by: Sequence[str] | None = None) -> DataFrame:
     """point_id, l1, l2, l3 where each eigenvalue is clearly below the one before; the score is l3."""
-    e = stats.scatter_eigenvalues(weighted_scatter(points, r), ["point_id"])
+    by = clouds(points, by)
+    e = stats.scatter_eigenvalues(weighted_scatter(points, r, by), [*by, "point_id"])
     return e.where((F.col("l1") * ratio > F.col("l2")) & (F.col("l2") * ratio > F.col("l3")))
 
 
-def _greedy(compat_skip: bool):
-    """Within one component of the conflict graph: take the best, drop what conflicts with it, and so on.
-
-    ``compat_skip`` walks the remaining list as a loop does that removes entries of the list it walks over: the entry after
-    each removed one isn't tested in that round.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        score = dict(zip(pdf["point_id"], pdf["score"], strict=True))
-        foes = {p: set(map(int, f)) for p, f in zip(pdf["point_id"], pdf["foes"], strict=True)}
-        left = sorted(score, key=lambda p: (score[p], p))
-        kept = []
-        while left:
-            best = left.pop()
-            kept.append(best)
-            if not compat_skip:
-                left = [p for p in left if p not in foes[best]]
-                continue
-            at = 0
-            while at < len(left):
-                if left[at] in foes[best]:
-                    del left[at]
-                at += 1
-        return pd.DataFrame({"point_id": kept, "score": [score[p] for p in kept]})
-
-    return run
-
-
-def iss_keypoints(points: DataFrame, r: float = 0.2, threshold: float = 0.4, compat_skip: bool = False) -> DataFrame:
-    """point_id, score, order: salient points that no better one overlaps by more than ``threshold`` (balls of radius r).
-
-    Overlap above a threshold is distance below one, so conflicts are a radius join; each component of the conflict
-    graph is resolved by itself. With ``compat_skip`` all points are one component, as skipping depends on the whole list.
+def _skipping(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A cloud's points by a walk that takes the best and removes what conflicts with it from the list it walks over: the entry after
+    each removed one isn't tested in that round."""
+    score = dict(zip(pdf["point_id"], pdf["score"], strict=True))
+    foes = {p: set(map(int, f)) for p, f in zip(pdf["point_id"], pdf["foes"], strict=True)}
+    left = sorted(score, key=lambda p: (score[p], p))
+    kept = []
+    while left:
+        best = left.pop()
+        kept.append(best)
+        at = 0
+        while at < len(left):
+            if left[at] in foes[best]:
+                del left[at]
+            at += 1
+    return pdf.set_index("point_id").loc[kept].reset_index().drop(columns=["foes", "_all"])
+
+
+def _best_apart(good: DataFrame, close: DataFrame, by: list[str]) -> DataFrame:
+    """Greedy choice by falling (score, id): in rounds, what beats all that conflicts with it stays and those go; as a walk would have it."""
+    left, kept = cut(good), []
+    rivals = close.select(*by, F.col("src").alias("point_id"), "dst")
+    while not left.isEmpty():
+        others = left.select(*by, F.col("point_id").alias("dst"), F.struct("score", F.col("point_id").alias("id")).alias("rival"))
+        best = rivals.join(others, [*by, "dst"]).groupBy(*by, "point_id").agg(F.max("rival").alias("rival"))
+        told = cut(left.join(best, [*by, "point_id"], "left").withColumn("stays", F.col("rival").isNull() | (F.struct("score", F.col("point_id").alias("id")) > F.col("rival"))))
+        stay = told.where("stays").drop("rival", "stays")
+        kept.append(stay)
+        gone = rivals.join(stay.select(*by, "point_id"), [*by, "point_id"], "left_semi").select(*by, F.col("dst").alias("point_id")).distinct()
+        left = cut(told.where("not stays").drop("rival", "stays").join(gone, [*by, "point_id"], "left_anti"))
+    return reduce(DataFrame.union, kept, good.limit(0))
+
+
+def iss_keypoints(points: DataFrame, r: float = 0.2, threshold: float = 0.4, compat_skip: bool = False, by: Sequence[str] | None = None) -> DataFrame:
+    """point_id, score, order (from 1, in its cloud): salient points that no better one overlaps by more than ``threshold`` (balls of radius r).
+
+    Overlap above a threshold is distance below one, so conflicts are a radius join. With ``compat_skip`` a cloud's salient points are one
+    sequential group, as skipping depends on the whole list.
     """
-    good = salient(points, r).select("point_id", F.col("l3").alias("score"))
+    by = clouds(points, by)
+    good = cut(salient(points, r, by=by).select(*by, "point_id", F.col("l3").alias("score")))
     reach = g.iou_radius(r, threshold)
-    close = neighbors.radius_join(points.join(good, "point_id", "left_semi"), points.join(good, "point_id", "left_semi"), reach, exclude_self=True)
-    close = close.where(g.sphere_iou(F.col("dist"), r) > threshold).select(F.col("query_id").alias("src"), F.col("neighbor_id").alias("dst"))
+    placed = points.select(*by, "point_id", *AXES).join(good, [*by, "point_id"], "left_semi")
+    close = neighbors.radius_join(placed, placed, reach, exclude_self=True, by=by)
+    close = cut(close.where(g.sphere_iou(F.col("dist"), r) > threshold).select(*by, F.col("query_id").alias("src"), F.col("neighbor_id").alias("dst")))
     if compat_skip:
-        label = good.select("point_id", F.lit(0).cast("long").alias("label"))
+        foes = close.groupBy(*by, F.col("src").alias("point_id")).agg(F.collect_list("dst").alias("foes"))
+        rows = good.join(foes, [*by, "point_id"], "left").withColumn("foes", F.coalesce("foes", F.array().cast("array<bigint>")))
+        kept = rows.withColumn("_all", F.lit(0)).groupBy(*by, "_all").applyInPandas(_skipping, good.schema)
     else:
-        label = graph.connected_components(good, close)
-    foes = close.groupBy(F.col("src").alias("point_id")).agg(F.collect_list("dst").alias("foes"))
-    rows = good.join(label, "point_id").join(foes, "point_id", "left").withColumn("foes", F.coalesce("foes", F.array().cast("array<bigint>")))
-    kept = rows.groupBy("label").applyInPandas(_greedy(compat_skip), "point_id long, score double")
-    return kept.withColumn("order", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("point_id"))))
+        kept = _best_apart(good, close, by)
+    return cloud.reindex(kept, [F.desc("score"), F.desc("point_id")], "order", by).withColumn("order", (F.col("order") + 1).cast("int"))
 
 
 # --- descriptors ----------------------------------------------------------
 
 
-def pair_angles(points: DataFrame, r: float, ids: DataFrame | None = None, alpha: str = "published") -> DataFrame:
+def pair_angles(points: DataFrame, r: float, ids: DataFrame | None = None, alpha: str = "published", by: Sequence[str] | None = None) -> DataFrame:
     """query_id, neighbor_id, dist, alpha, phi, theta of each point and its other neighbours within r (points need nx, ny, nz).
 
     Coincident neighbours have no direction and are left out. ``alpha='degenerate'`` is 0 throughout.
     """
-    asked = points if ids is None else points.join(ids.select("point_id"), "point_id", "left_semi")
-    pairs = neighbors.radius_join(asked, points, r, exclude_self=True, carry=(*AXES, "nx", "ny", "nz")).where("dist > 0")
+    by = clouds(points, by)
+    asked = points if ids is None else points.join(ids.select(*by, "point_id"), [*by, "point_id"], "left_semi")
+    pairs = neighbors.radius_join(asked, points, r, exclude_self=True, by=by, carry=(*AXES, "nx", "ny", "nz")).where("dist > 0")
     u, other = g.triple("q_nx", "q_ny", "q_nz"), g.triple("n_nx", "n_ny", "n_nz")
     d = tuple((F.col(f"n_{c}") - F.col(f"q_{c}")) / F.col("dist") for c in AXES)
     pairs = pairs.withColumns({f"_d{c}": x for c, x in zip(AXES, d, strict=True)})
@@ -121,53 +128,60 @@ def pair_angles(points: DataFrame, r: float, ids: DataFrame | None = None, alpha
     pairs = pairs.withColumns({f"_v{c}": x for c, x in zip(AXES, g.cross(u, d), strict=True)})
     v = g.triple("_vx", "_vy", "_vz")
     w = g.cross(u, v)
-    return pairs.select("query_id", "neighbor_id", "dist", (g.dot(v, other) if alpha == "published" else F.lit(0.0)).alias("alpha"), g.dot(u, d).alias("phi"), F.atan2(g.dot(w, other), g.dot(u, other)).alias("theta"))
+    return pairs.select(*by, "query_id", "neighbor_id", "dist", (g.dot(v, other) if alpha == "published" else F.lit(0.0)).alias("alpha"), g.dot(u, d).alias("phi"), F.atan2(g.dot(w, other), g.dot(u, other)).alias("theta"))
 
 
-def spfh(points: DataFrame, r: float = 0.2, bins: int = 6, ids: DataFrame | None = None, alpha: str = "published") -> DataFrame:
+def spfh(points: DataFrame, r: float = 0.2, bins: int = 6, ids: DataFrame | None = None, alpha: str = "published", by: Sequence[str] | None = None) -> DataFrame:
     """point_id, feature: three normalised histograms of ``bins`` bins. A point without neighbours has no row.
 
     All 3 * bins counts are conditional sums of one grouping. Rounding may leave a cosine a hair outside [-1, 1]; as
     in the definition it is then in no bin. A histogram without entries is 0.
     """
-    a = pair_angles(points, r, ids, alpha)
+    by = clouds(points, by)
+    return _histograms(pair_angles(points, r, ids, alpha, by), bins, by)
+
+
+def _histograms(a: DataFrame, bins: int, by: list[str]) -> DataFrame:
     ranges = (("alpha", -1.0, 1.0), ("phi", -1.0, 1.0), ("theta", -math.pi, math.pi))
     counts = [F.count(F.when(g.bin_of(F.col(c), lo, hi, bins) == b, 1)).cast("double").alias(f"{c}{b}") for c, lo, hi in ranges for b in range(bins)]
-    h = a.groupBy(F.col("query_id").alias("point_id")).agg(*counts)
+    h = a.groupBy(*by, F.col("query_id").alias("point_id")).agg(*counts)
     cells = []
     for c, _, _ in ranges:
         total = sum((F.col(f"{c}{b}") for b in range(1, bins)), F.col(f"{c}0"))
         cells += [F.when(total > 0, F.col(f"{c}{b}") / total).otherwise(0.0) for b in range(bins)]
-    return h.select("point_id", F.array(*cells).alias("feature"))
+    return h.select(*by, "point_id", F.array(*cells).alias("feature"))
 
 
-def fpfh(points: DataFrame, r: float = 0.2, bins: int = 6, ids: DataFrame | None = None, alpha: str = "published") -> DataFrame:
+def fpfh(points: DataFrame, r: float = 0.2, bins: int = 6, ids: DataFrame | None = None, alpha: str = "published", by: Sequence[str] | None = None) -> DataFrame:
     """point_id, feature: own histogram plus the mean of the neighbours', weighed by 1 / distance; unit length.
 
-    Histograms are computed once for every point that is asked for or near one, then joined. The mean is over
-    one less than the neighbours counted with the point itself. Isolated points have no row.
+    Histograms are computed once for every point that is asked for or near one, then joined; for whole clouds the pairs with their angles are
+    kept, so neighbours are joined once. The mean is over one less than the neighbours counted with the point itself. Isolated points have no row.
     """
-    pairs = neighbors.radius_join(points if ids is None else points.join(ids.select("point_id"), "point_id", "left_semi"), points, r, exclude_self=True)
-    pairs = pairs.where("dist > 0").select("query_id", "neighbor_id", "dist")
-    need = None if ids is None else pairs.select(F.col("neighbor_id").alias("point_id")).union(ids.select("point_id")).distinct()
-    simple = spfh(points, r, bins, need, alpha)
+    by = clouds(points, by)
+    if ids is None:
+        angles = cut(pair_angles(points, r, None, alpha, by))
+        pairs, simple = angles.select(*by, "query_id", "neighbor_id", "dist"), _histograms(angles, bins, by)
+    else:
+        ids = ids.select(*by, "point_id")
+        pairs = neighbors.radius_join(points.join(ids, [*by, "point_id"], "left_semi"), points, r, exclude_self=True, by=by)
+        pairs = pairs.where("dist > 0").select(*by, "query_id", "neighbor_id", "dist")
+        simple = spfh(points, r, bins, pairs.select(*by, F.col("neighbor_id").alias("point_id")).union(ids).distinct(), alpha, by)
     n = 3 * bins
-    near = pairs.join(simple.withColumnRenamed("point_id", "neighbor_id"), "neighbor_id")
-    sums = near.groupBy("query_id").agg(F.count("*").alias("_n"), *[F.sum(F.col("feature")[k] / F.col("dist")).alias(f"_s{k}") for k in range(n)])
-    both = sums.join(simple.withColumnRenamed("point_id", "query_id"), "query_id")
-    raw = both.select(F.col("query_id").alias("point_id"), F.array(*[F.col("feature")[k] + F.col(f"_s{k}") / F.col("_n") for k in range(n)]).alias("f"))
+    near = pairs.join(simple.withColumnRenamed("point_id", "neighbor_id"), [*by, "neighbor_id"])
+    sums = near.groupBy(*by, "query_id").agg(F.count("*").alias("_n"), *[F.sum(F.col("feature")[k] / F.col("dist")).alias(f"_s{k}") for k in range(n)])
+    both = sums.join(simple.withColumnRenamed("point_id", "query_id"), [*by, "query_id"])
+    raw = both.select(*by, F.col("query_id").alias("point_id"), F.array(*[F.col("feature")[k] + F.col(f"_s{k}") / F.col("_n") for k in range(n)]).alias("f"))
     length = F.sqrt(F.aggregate("f", F.lit(0.0), lambda t, x: t + x * x))
-    return raw.withColumn("_l", length).select("point_id", F.transform("f", lambda x: x / F.col("_l")).alias("feature"))
+    return raw.withColumn("_l", length).select(*by, "point_id", F.transform("f", lambda x: x / F.col("_l")).alias("feature"))
 
 
 def descriptor_rows(described: DataFrame) -> DataFrame:
     """The long form: key_idx, index, feature."""
-    return described.select(F.col("point_id").alias("key_idx"), F.posexplode("feature").alias("index", "feature"))
+    return described.select(*clouds(described), F.col("point_id").alias("key_idx"), F.posexplode("feature").alias("index", "feature"))
 
 
 def describe(points: DataFrame, keypoints: DataFrame, r: float = 0.2, bins: int = 6, height: float = 0.2, alpha: str = "published") -> DataFrame:
-    """Descriptors, in long form, of the key points that lie in the low slab of the cloud."""
-    from .cloud import gather, low_slab
-
-    inside = gather(low_slab(points, height), keypoints).select("point_id")
+    """Descriptors, in long form, of the key points that lie in the low slab of their cloud."""
+    inside = cloud.gather(cloud.low_slab(points, height), keypoints).select(*clouds(points), "point_id")
     return descriptor_rows(fpfh(points, r, bins, inside, alpha))

@@ -2,49 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import clouds, cut
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "point_id") -> DataFrame:
-    """``node`` and ``label`` (the least node of its component).
+def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "point_id", by: Sequence[str] = ()) -> DataFrame:
+    """``node`` and ``label`` (the least node of its component); ``by`` holds graphs apart.
 
     Each round takes the least label among neighbours and then that label's own label, so the rounds follow the logarithm of
-    the longest path. Lineage is cut every round; labels never leave the executors.
+    the longest path. Lineage is cut every round and before labels are joined, so that a label that many nodes have can be split; labels never leave the executors.
     """
-    both = cut(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
-    labels = cut(nodes.select(F.col(node).alias("n")).distinct().withColumn("label", F.col("n")))
+    by = list(by)
+    both = cut(edges.select(*by, "src", "dst").union(edges.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
+    labels = cut(nodes.select(*by, F.col(node).alias("n")).distinct().withColumn("label", F.col("n")))
     while True:
-        near = both.join(labels.withColumnRenamed("n", "dst"), "dst").groupBy("src").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["n"] == near["src"], "left").select("n", "label", F.least("label", "near").alias("next"))
-        far = step.select(F.col("n").alias("next"), F.col("next").alias("far"))
-        step = step.join(far, "next", "left").select("n", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved"))
-        step = cut(step)
-        labels = step.select("n", "label")
-        if step.where("moved").isEmpty():
-            return labels.withColumnRenamed("n", node)
+        near = both.join(labels.withColumnRenamed("n", "dst"), [*by, "dst"]).groupBy(*by, F.col("src").alias("n")).agg(F.min("label").alias("near"))
+        step = cut(labels.join(near, [*by, "n"], "left").select(*by, "n", F.col("label").alias("was"), F.least("label", "near").alias("label")))
+        if step.where("label <> was").isEmpty():
+            return step.select(*by, F.col("n").alias(node), "label")
+        far = step.where("label <> n").select(*by, F.col("n").alias("label"), F.col("label").alias("far"))
+        far = cut(far.join(step.select(*by, "label").distinct(), [*by, "label"], "left_semi"))
+        labels = cut(step.join(far, [*by, "label"], "left").select(*by, "n", F.coalesce("far", "label").alias("label")))
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """Edges in both directions, each once."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
-    return edges.union(back.select(*edges.columns)).distinct()
+    swap = {"src": "dst", "dst": "src"}
+    return edges.union(edges.select(*[F.col(swap.get(c, c)).alias(c) for c in edges.columns])).distinct()
 
 
 def averaged(edges: DataFrame) -> DataFrame:
     """Half a unit for each direction in which an edge is listed."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src"))
-    return both.groupBy("src", "dst").agg((F.count("*") * 0.5).alias("w"))
+    by = clouds(edges)
+    both = edges.select(*by, "src", "dst").union(edges.select(*by, "dst", "src"))
+    return both.groupBy(*by, "src", "dst").agg((F.count("*") * 0.5).alias("w"))
 
 
 def degree(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("src").agg(F.sum("w").alias("degree"))
+    return edges.groupBy(*clouds(edges), "src").agg(F.sum("w").alias("degree"))
 
 
 def random_walk_laplacian(edges: DataFrame) -> DataFrame:
     """Off-diagonal and diagonal cells of I - D^-1 W."""
+    by = clouds(edges)
     d = degree(edges)
-    off = edges.join(d, "src").select("src", "dst", (-F.col("w") / F.col("degree")).alias("l"))
-    return off.union(d.select("src", F.col("src").alias("dst"), F.lit(1.0).alias("l")))
+    off = edges.join(d, [*by, "src"]).select(*by, "src", "dst", (-F.col("w") / F.col("degree")).alias("l"))
+    return off.union(d.select(*by, "src", F.col("src").alias("dst"), F.lit(1.0).alias("l")))

@@ -1,8 +1,8 @@
 """Exact neighbour joins.
 
 A distance predicate alone plans as a nested loop over all pairs. These joins put points into grid cells and join on cells;
-the distance is a filter on top. Grid cells are a little wider than the radius, so that rounding can't put a pair at
-exactly that distance two cells apart. Uneven cells are left to adaptive skew handling.
+the distance is a filter on top. Cells and ranges of cells come from the same monotone arithmetic, so rounding can't part a pair.
+Tables with a ``cloud_id`` (or the columns given as ``by``) are joined cloud by cloud.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from . import graph, stats
-from .session import cut
+from . import cloud, graph
+from .session import clouds, cut
 
 AXES = ("x", "y", "z")
 
@@ -34,24 +34,30 @@ def _around(df: DataFrame, size: float) -> DataFrame:
     return out.select(*df.columns, *[(F.floor(F.col(c) / size) + F.col(f"_s.{n}")).alias(f"c{c}") for c, n in zip(AXES, ("i", "j", "k"), strict=True)])
 
 
-def radius_join(queries: DataFrame, points: DataFrame, r: float, exclude_self: bool = False, by: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+def radius_join(queries: DataFrame, points: DataFrame, r: float, exclude_self: bool = False, by: Sequence[str] | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """query_id, neighbor_id, dist for every pair at most r apart (r included).
 
     ``by`` holds clouds apart; columns in ``carry`` come along from both sides, as q_<name> and n_<name>.
     """
+    by = clouds(points, by)
     size = r * (1 + 1e-9) if r > 0 else 1.0
     carry = [c for c in carry if c not in by]
     q = _around(queries.select(*by, F.col("point_id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in dict.fromkeys((*AXES, *carry))], *AXES), size).drop(*AXES)
     p = points.select(*by, F.col("point_id").alias("neighbor_id"), *[F.col(c).alias(f"n_{c}") for c in dict.fromkeys((*AXES, *carry))], *_cells(size))
-    pairs = q.join(p, [*by, "cx", "cy", "cz"]).withColumn("dist", g.dist(g.triple(*[f"n_{c}" for c in AXES]), g.triple(*[f"q_{c}" for c in AXES])))
+    pairs = q.join(p, [*by, "cx", "cy", "cz"]).withColumn("dist", _gap())
     pairs = pairs.where(F.col("dist") <= r)
     if exclude_self:
         pairs = pairs.where("query_id <> neighbor_id")
     return pairs.select(*by, "query_id", "neighbor_id", "dist", *[f"{s}_{c}" for s in "qn" for c in carry])
 
 
-def radius_count(points: DataFrame, r: float, by: Sequence[str] = ()) -> DataFrame:
+def _gap() -> Column:
+    return g.dist(g.triple(*[f"n_{c}" for c in AXES]), g.triple(*[f"q_{c}" for c in AXES]))
+
+
+def radius_count(points: DataFrame, r: float, by: Sequence[str] | None = None) -> DataFrame:
     """Neighbours of every point, itself included."""
+    by = clouds(points, by)
     return radius_join(points, points, r, by=by).groupBy(*by, F.col("query_id").alias("point_id")).agg(F.count("*").alias("n"))
 
 
@@ -60,104 +66,148 @@ def _ranked(pairs: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn_brute(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """Every query against every point: the definition, for small query sets."""
-    q = queries.select(F.col("point_id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in AXES])
-    p = points.select(F.col("point_id").alias("neighbor_id"), *[F.col(c).alias(f"n_{c}") for c in AXES])
-    pairs = q.crossJoin(p).where("query_id <> neighbor_id") if exclude_self else q.crossJoin(p)
-    pairs = pairs.withColumn("dist", g.dist(g.triple(*[f"n_{c}" for c in AXES]), g.triple(*[f"q_{c}" for c in AXES])))
-    return _ranked(pairs.select("query_id", "neighbor_id", "dist"), k, ()).select("query_id", "neighbor_id", "dist", "rank")
+def knn_brute(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False, by: Sequence[str] | None = None) -> DataFrame:
+    """Every query against every point of its cloud: the definition, for small query sets."""
+    by = clouds(points, by)
+    q = queries.select(*by, F.col("point_id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in AXES])
+    p = points.select(*by, F.col("point_id").alias("neighbor_id"), *[F.col(c).alias(f"n_{c}") for c in AXES])
+    pairs = q.join(p, by) if by else q.crossJoin(p)
+    pairs = pairs.where("query_id <> neighbor_id") if exclude_self else pairs
+    return _ranked(pairs.select(*by, "query_id", "neighbor_id", _gap().alias("dist")), k, by).select(*by, "query_id", "neighbor_id", "dist", "rank")
 
 
-def knn_join(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False, cell: float | None = None) -> DataFrame:
-    """query_id, neighbor_id, dist, rank: the k nearest by (dist, id); fewer if there are fewer points.
+def knn_join(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False, by: Sequence[str] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """query_id, neighbor_id, dist, rank: the k nearest by (dist, id); fewer if there are fewer points. ``carry``: the neighbours' columns, as n_<name>.
 
-    A round looks at the 27 cells around each query. All points within one cell's width are among them, so a query
-    is done once its k-th candidate lies within that; the others go on with cells twice as wide.
+    Cells of an octree are counted from its deepest level upwards. A query's smallest cell that holds k points bounds its k-th
+    distance; cells no smaller than that distance, a few around the query, then hold all candidates. So dense and empty regions each
+    work at their own level, and there are no rounds. Of points in one place the least ids stand for all.
     """
+    by = clouds(points, by)
     want = k + 1 if exclude_self else k
-    info = stats.bounds(points).join(points.agg(F.count("*").alias("n"))).first()
-    if not info or not info["n"]:
-        return knn_brute(queries, points, k, exclude_self)
-    spans = [info[f"max_{c}"] - info[f"min_{c}"] for c in AXES]
-    edges = queries.agg(*[f(c).alias(f"{n}{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    if edges["lox"] is None:
-        return knn_brute(queries, points, k, exclude_self)
-    reach = max(max(edges[f"hi{c}"], info[f"max_{c}"]) - min(edges[f"lo{c}"], info[f"min_{c}"]) for c in AXES)
-    wide = [s for s in spans if s > 0]
-    size = cell or (1.5 * (math.prod(wide) * want / info["n"]) ** (1 / len(wide)) if wide else 1.0)
-    todo, done = queries.select("point_id", *AXES), []
-    while True:
-        last = size > reach * (1 + 1e-9)
-        q = _around(todo.select(F.col("point_id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in AXES], *AXES), size).drop(*AXES)
-        p = points.select(F.col("point_id").alias("neighbor_id"), *[F.col(c).alias(f"n_{c}") for c in AXES], *_cells(size))
-        pairs = q.join(p, ["cx", "cy", "cz"]).select("query_id", "neighbor_id", g.dist(g.triple(*[f"n_{c}" for c in AXES]), g.triple(*[f"q_{c}" for c in AXES])).alias("dist"))
-        if exclude_self:
-            pairs = pairs.where("query_id <> neighbor_id")
-        found = _ranked(pairs, k, ())
-        if last:
-            done.append(found)
-            break
-        found = cut(found.withColumn("_kth", F.max(F.when(F.col("rank") == k, F.col("dist"))).over(Window.partitionBy("query_id"))))
-        ok = F.coalesce(F.col("_kth") <= size * (1 - 1e-9), F.lit(False))
-        done.append(found.where(ok).drop("_kth"))
-        todo = todo.join(found.where(ok).select(F.col("query_id").alias("point_id")).distinct(), "point_id", "left_anti")
-        if todo.isEmpty():
-            break
-        size *= 2
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("query_id", "neighbor_id", "dist", "rank")
-
-
-def knn_vectors(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False, block: int = 4096) -> DataFrame:
+    box = points.groupBy(*by).agg(*[F.min(c).alias(f"l{c}") for c in AXES], F.greatest(*[F.max(c) - F.min(c) for c in AXES]).alias("side"), F.count("*").alias("n"))
+    box = cut(box.withColumn("side", F.when(F.col("side") > 0, F.col("side")).otherwise(1.0)))
+    most = box.agg(F.max("n")).first()[0] or 0
+    deep = min(30, max(0, math.ceil(math.log2(max(1, most / want)) / 3)) + 8)
+    levels = F.sequence(F.lit(0), F.lit(deep))
+    cell = ["ci", "cj", "ck"]
+
+    def index(value: Column, axis: str) -> Column:
+        """Of the deepest cell; what lies outside the box counts at its edge."""
+        return F.least(F.greatest(F.floor((value - F.col(f"l{axis}")) / F.col("side") * 2.0**deep), F.lit(0)), F.lit(2**deep - 1)).cast("long")
+
+    def up(c: str, level: Column) -> Column:
+        return F.call_function("shiftright", F.col(c), (F.lit(deep) - level).cast("int")).alias(c)
+
+    place = Window.partitionBy(*by, *AXES).orderBy("point_id")
+    kept = list(dict.fromkeys((*AXES, *(c for c in carry if c not in by))))
+    p = points.withColumn("_same", F.row_number().over(place)).where(F.col("_same") <= want)
+    p = cloud.same_cloud(p, box, by).select(*by, F.col("point_id").alias("neighbor_id"), *[F.col(c).alias(f"n_{c}") for c in kept], *[index(F.col(c), c).alias(i) for c, i in zip(AXES, cell, strict=True)])
+    q = cloud.same_cloud(queries, box, by).select(*by, F.col("point_id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in AXES], *[f"l{c}" for c in AXES], "side", *[index(F.col(c), c).alias(i) for c, i in zip(AXES, cell, strict=True)])
+
+    def leveled(df: DataFrame, at: Column) -> DataFrame:
+        out = df.withColumn("level", F.explode(at))
+        return out.withColumns({c: up(c, F.col("level")) for c in cell})
+
+    occupied = p.groupBy(*by, *cell).agg(F.count("*").alias("m"))
+    full = leveled(occupied, levels).groupBy(*by, "level", *cell).agg(F.sum("m").alias("m")).where(F.col("m") >= want)
+    spots = q.select(*by, *cell).distinct().select(*by, *[F.col(c).alias(f"d{c}") for c in cell], *cell)
+    depth = leveled(spots, levels).join(full, [*by, "level", *cell]).groupBy(*by, *[f"d{c}" for c in cell]).agg(F.max("level").alias("level"))
+    depth = cut(depth.withColumnsRenamed({f"d{c}": c for c in cell}))
+    used = F.array(*[F.lit(r["level"]) for r in depth.select("level").distinct().collect()])  # at most 31 numbers
+    here = q.join(depth, [*by, *cell]).withColumns({c: up(c, F.col("level")) for c in cell})
+    pairs = here.join(leveled(p.select(*by, "neighbor_id", *[f"n_{c}" for c in AXES], *cell), used), [*by, "level", *cell]) if depth.head(1) else None
+    reach = q.drop(*cell)
+    if pairs is not None:
+        kth = pairs.groupBy(*by, "query_id").agg(F.sort_array(F.collect_list(_gap()))[want - 1].alias("r"))
+        reach = reach.join(kth, [*by, "query_id"], "left")
+    else:
+        reach = reach.withColumn("r", F.lit(None).cast("double"))
+    reach = reach.withColumn("r", F.col("r") * (1 + 1e-9))
+    level = F.when(F.col("r") > 0, F.least(F.greatest(F.floor(F.log2(F.col("side") / F.col("r"))), F.lit(0)), F.lit(deep))).when(F.col("r") == 0, deep).otherwise(0).cast("int")
+    reach = cut(reach.withColumn("level", level))
+    used = [r["level"] for r in reach.select("level").distinct().collect()]
+    if not used:
+        return _ranked(reach.select(*by, "query_id", F.lit(0).cast("long").alias("neighbor_id"), F.lit(0.0).alias("dist"), *[F.lit(None).alias(f"n_{c}") for c in carry]), k, by)
+    near = reach
+    for axis, c in zip(AXES, cell, strict=True):
+        ends = [index(F.col(f"q_{axis}") + s * F.coalesce("r", F.lit(float("inf"))), axis) for s in (-1, 1)]
+        lo, hi = (F.call_function("shiftright", e, (F.lit(deep) - F.col("level")).cast("int")) for e in ends)
+        near = near.withColumn(c, F.explode(F.sequence(lo, hi)))
+    found = near.join(leveled(p, F.array(*map(F.lit, used))), [*by, "level", *cell]).withColumn("dist", _gap())
+    found = found.where(F.col("r").isNull() | (F.col("dist") <= F.col("r")))
+    if exclude_self:
+        found = found.where("query_id <> neighbor_id")
+    return _ranked(found.select(*by, "query_id", "neighbor_id", "dist", *[f"n_{c}" for c in carry]), k, by)
+
+
+def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("point_id", kind="stable")
+    x = np.stack(pdf["features"]).astype(np.float64)
+    return pd.DataFrame({"part": [key[0]], "ids": [pdf["point_id"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()]})
+
+
+def _open(row) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row["ids"], np.int64)
+    return ids, np.frombuffer(row["x"], np.float64).reshape(len(ids), -1)
+
+
+def knn_vectors(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False, block: int = 1024) -> DataFrame:
     """Nearest vectors (point_id, features) in any dimension, exactly, block against block.
 
-    Both sides are packed into blocks of bounded size; each pair of blocks is one group whose distances are taken
-    directly in NumPy, and only k rows a query leave it.
+    Both sides are packed into blocks of bounded size, one row each. A pair of blocks is one matrix product, which leaves out what can't be among the
+    k nearest by more than its rounding; distances of the rest are taken directly, and only k rows a query leave the pair.
     """
 
-    def pack(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    def packed(df: DataFrame) -> tuple[DataFrame, int]:
         n = max(1, -(-df.count() // block))
-        part = F.pmod(F.xxhash64("point_id"), F.lit(n)).cast("int").alias(name)
-        return df.select("point_id", F.col("features").cast("array<double>").alias("features"), part), n
-
-    q, n_q = pack(queries, "a")
-    p, n_p = pack(points, "b")
-    q = q.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))))
-    p = p.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-
-    def near(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            x, y = np.stack(left["features"]), np.stack(right["features"])
-            ids = right["point_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, y = ids[order], y[order]
-            for v, i in zip(x, left["point_id"], strict=True):
-                d = np.sqrt(((y - v) ** 2).sum(axis=1))
-                if exclude_self:
-                    d = np.where(ids == i, np.inf, d)
-                top = np.argsort(d, kind="stable")[: min(k, len(d))]
-                top = top[np.isfinite(d[top])]
-                out.append(pd.DataFrame({"query_id": i, "neighbor_id": ids[top], "dist": d[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "neighbor_id": [], "dist": []}).astype({"query_id": "int64", "neighbor_id": "int64"})
-
-    pairs = q.groupBy("a", "b").cogroup(p.groupBy("a", "b")).applyInPandas(near, "query_id long, neighbor_id long, dist double")
-    return _ranked(pairs, k, ()).select("query_id", "neighbor_id", "dist", "rank")
-
-
-def pairwise(points: DataFrame) -> DataFrame:
-    """Squared distances of all ordered pairs: quadratic by definition, so for small tables."""
-    a = points.select(F.col("point_id").alias("src"), *[F.col(c).alias(f"a{c}") for c in AXES])
-    b = points.select(F.col("point_id").alias("dst"), *[F.col(c).alias(f"b{c}") for c in AXES])
-    half = a.join(b, F.col("src") < F.col("dst")).select("src", "dst", g.dist2(g.triple("ax", "ay", "az"), g.triple("bx", "by", "bz")).alias("d2"))
-    same = points.select(F.col("point_id").alias("src"), F.col("point_id").alias("dst"), F.lit(0.0).alias("d2"))
-    return half.union(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "d2")).union(same)
-
-
-def knn_graph(points: DataFrame, k: int, sigma: float = 1.0) -> DataFrame:
+        part = F.pmod(F.xxhash64("point_id"), F.lit(n)).cast("int").alias("part")
+        rows = df.select("point_id", F.col("features").cast("array<double>").alias("features"), part)
+        return rows.groupBy("part").applyInPandas(_pack, "part int, ids binary, x binary"), n
+
+    def near(batches):
+        for pdf in batches:
+            for _, r in pdf.iterrows():
+                (q_ids, x), (ids, y) = _open({"ids": r["q_ids"], "x": r["q_x"]}), _open(r)
+                xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+                slack = 1e-12 * (x.shape[1] + 8) * (xx.max() + yy.max())  # a product's rounding is below this
+                want = min(len(ids), k + 1 if exclude_self else k)
+                out = []
+                for a in range(0, len(x), 512):
+                    d2 = xx[a : a + 512, None] + yy[None, :] - 2.0 * (x[a : a + 512] @ y.T)
+                    edge = np.partition(d2, want - 1, axis=1)[:, want - 1] + 2 * slack
+                    i, j = np.nonzero(d2 <= edge[:, None])
+                    if exclude_self:
+                        other = q_ids[a + i] != ids[j]
+                        i, j = i[other], j[other]
+                    d = np.sqrt(((y[j] - x[a + i]) ** 2).sum(axis=1))
+                    order = np.lexsort((ids[j], d, i))
+                    i, j, d = i[order], j[order], d[order]
+                    first = np.searchsorted(i, i)  # place of each query's first row
+                    ok = np.arange(len(i)) - first < k
+                    out.append(pd.DataFrame({"query_id": q_ids[a + i[ok]], "neighbor_id": ids[j[ok]], "dist": d[ok]}))
+                yield pd.concat(out)
+
+    (q, _), (p, n_p) = packed(queries), packed(points)
+    turns = F.explode(F.sequence(F.lit(0), F.lit(n_p - 1)))
+    pairs = q.select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), turns.alias("part"))
+    found = pairs.join(p, "part").repartition(F.rand(1)).mapInPandas(near, "query_id long, neighbor_id long, dist double")
+    return _ranked(found, k, ()).select("query_id", "neighbor_id", "dist", "rank")
+
+
+def pairwise(points: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+    """Squared distances of all ordered pairs of a cloud: quadratic by definition, so for small tables."""
+    by = clouds(points, by)
+    a = points.select(*by, F.col("point_id").alias("src"), *[F.col(c).alias(f"a{c}") for c in AXES])
+    b = points.select(*[F.col(c).alias(f"b_{c}") for c in by], F.col("point_id").alias("dst"), *[F.col(c).alias(f"b{c}") for c in AXES])
+    on = [F.col(c) == F.col(f"b_{c}") for c in by]
+    half = a.join(b, [*on, F.col("src") < F.col("dst")]).select(*by, "src", "dst", g.dist2(g.triple("ax", "ay", "az"), g.triple("bx", "by", "bz")).alias("d2"))
+    same = points.select(*by, F.col("point_id").alias("src"), F.col("point_id").alias("dst"), F.lit(0.0).alias("d2"))
+    return half.union(half.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"), "d2")).union(same)
+
+
+def knn_graph(points: DataFrame, k: int, sigma: float = 1.0, by: Sequence[str] | None = None) -> DataFrame:
     """Edges src, dst, w = exp(-d^2 / 2 sigma^2) between points of which one is among the other's k nearest."""
-    near = knn_join(points, points, k, exclude_self=True).select(F.col("query_id").alias("src"), F.col("neighbor_id").alias("dst"), (F.col("dist") * F.col("dist")).alias("d2"))
-    return graph.symmetric(near).select("src", "dst", F.exp(-F.col("d2") / (2.0 * sigma * sigma)).alias("w"))
+    by = clouds(points, by)
+    near = knn_join(points, points, k, exclude_self=True, by=by).select(*by, F.col("query_id").alias("src"), F.col("neighbor_id").alias("dst"), (F.col("dist") * F.col("dist")).alias("d2"))
+    return graph.symmetric(near).select(*by, "src", "dst", F.exp(-F.col("d2") / (2.0 * sigma * sigma)).alias("w"))

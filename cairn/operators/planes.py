@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from . import cloud, stats, voxel
+from .session import clouds, cut
 
 AXES = ("x", "y", "z")
 
 
-def lsq_plane(df: DataFrame) -> DataFrame:
-    """a, b, c, d of the least-squares plane: the direction of least variance through the mean."""
-    fit = stats.covariance(df).join(F.broadcast(stats.mean(df)))
+def lsq_plane(df: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+    """a, b, c, d of each cloud's least-squares plane: the direction of least variance through the mean."""
+    by = clouds(df, by)
+    fit = cloud.same_cloud(stats.covariance(df, by), stats.mean(df, by), by)
     v = fit.withColumn("v", stats.eigenpairs(*[F.col(f"{a}{b}") for a, b in stats.UPPER])[2])
     a, b, c = (F.col("v")[k] for k in (1, 2, 3))
-    return v.select(a.alias("a"), b.alias("b"), c.alias("c"), (-(a * F.col("mean_x") + b * F.col("mean_y") + c * F.col("mean_z"))).alias("d"))
+    return v.select(*by, a.alias("a"), b.alias("b"), c.alias("c"), (-(a * F.col("mean_x") + b * F.col("mean_y") + c * F.col("mean_z"))).alias("d"))
 
 
 def sample_order(seed: int) -> Column:
@@ -26,66 +28,86 @@ def sample_order(seed: int) -> Column:
     return F.pmod(F.col("point_id") * 7919 + 104729 * (seed + 1), F.lit(1000003))
 
 
-def hypotheses(df: DataFrame, n: int = 35, seed: int = 0) -> DataFrame:
-    """iter, unit normal and a point of planes through n triples of points; triples without area are left out.
+def hypotheses(df: DataFrame, n: int = 35, seed: int = 0, by: Sequence[str] | None = None) -> DataFrame:
+    """iter, unit normal and a point of planes through n triples of points of each cloud; triples without area are left out.
 
-    Only the 3n first points of the shuffle are gathered.
+    Only the 3n first points of a cloud's shuffle are gathered.
     """
-    picked = df.select(sample_order(seed).alias("o"), "point_id", *AXES).orderBy("o", "point_id").limit(3 * n)
-    at = picked.agg(F.sort_array(F.collect_list(F.struct("o", "point_id", *AXES))).alias("p")).select(F.posexplode("p").alias("k", "p"))
-    rows = at.groupBy(F.floor(F.col("k") / 3).cast("int").alias("iter")).agg(F.sort_array(F.collect_list(F.struct("k", "p.x", "p.y", "p.z"))).alias("t")).where(F.size("t") == 3)
+    by = clouds(df, by)
+    picked = df.select(*by, sample_order(seed).alias("o"), "point_id", *AXES)
+    if by:
+        first = Window.partitionBy(*by).orderBy("o", "point_id")
+        picked = picked.withColumn("_first", F.row_number().over(first)).where(F.col("_first") <= 3 * n).drop("_first")
+    else:
+        picked = picked.orderBy("o", "point_id").limit(3 * n)
+    at = picked.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("o", "point_id", *AXES))).alias("p")).select(*by, F.posexplode("p").alias("k", "p"))
+    rows = at.groupBy(*by, F.floor(F.col("k") / 3).cast("int").alias("iter")).agg(F.sort_array(F.collect_list(F.struct("k", "p.x", "p.y", "p.z"))).alias("t")).where(F.size("t") == 3)
     t = [tuple(F.col("t")[k][c] for c in AXES) for k in range(3)]
     m = g.cross(g.minus(t[1], t[0]), g.minus(t[2], t[0]))
-    rows = rows.select("iter", *[x.alias(f"m{c}") for x, c in zip(m, AXES, strict=True)], *[x.alias(f"p{c}") for x, c in zip(t[0], AXES, strict=True)])
+    rows = rows.select(*by, "iter", *[x.alias(f"m{c}") for x, c in zip(m, AXES, strict=True)], *[x.alias(f"p{c}") for x, c in zip(t[0], AXES, strict=True)])
     length = g.norm(g.triple("mx", "my", "mz"))
-    return rows.withColumn("len", length).where("len > 0").select("iter", *[(F.col(f"m{c}") / F.col("len")).alias(f"n{c}") for c in AXES], "px", "py", "pz")
+    return rows.withColumn("len", length).where("len > 0").select(*by, "iter", *[(F.col(f"m{c}") / F.col("len")).alias(f"n{c}") for c in AXES], "px", "py", "pz")
 
 
-def ransac_scores(df: DataFrame, planes: DataFrame, tao: float = 0.2) -> DataFrame:
-    """``planes`` with their inliers (strictly nearer than ``tao``).
+PLANE = [f"{p}{c}" for p in "np" for c in AXES]
 
-    All planes are scored in one pass: each becomes one conditional count, so no point is copied.
+
+def ransac_scores(df: DataFrame, planes: DataFrame, tao: float = 0.2, by: Sequence[str] | None = None) -> DataFrame:
+    """``planes`` with their inliers (strictly nearer than ``tao``) in their cloud.
+
+    All planes are scored in one pass: a cloud's planes come to each of its points as one array, and every place in it is one conditional
+    count, so no point is copied.
     """
-    found = planes.collect()  # as many as iterations were asked for
-    if not found:
+    by = clouds(df, by)
+    planes = cut(planes)
+    most = planes.groupBy(*by).count().agg(F.max("count")).first()[0]  # as many as iterations were asked for
+    if not most:
         return planes.withColumn("inliers", F.lit(0).cast("long"))
-    lit = lambda r, p: tuple(F.lit(r[f"{p}{c}"]) for c in AXES)
-    counts = [F.count(F.when(g.normal_distance(g.triple(), lit(r, "n"), lit(r, "p")) < tao, 1)) for r in found]
-    row = df.agg(F.array(*counts).alias("c"), F.array(*[F.lit(r["iter"]) for r in found]).alias("i"))
-    scored = row.select(F.explode(F.arrays_zip("c", "i")).alias("s")).select(F.col("s.i").alias("iter"), F.col("s.c").alias("inliers"))
-    return planes.join(F.broadcast(scored), "iter")
+    listed = planes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("iter", *PLANE))).alias("h"))
+    of = lambda k, p: tuple(F.col("h")[k][f"{p}{c}"] for c in AXES)
+    points = cloud.same_cloud(df.select(*by, *AXES), listed, by)
+    counts = [F.count(F.when(g.normal_distance(g.triple(), of(k, "n"), of(k, "p")) < tao, 1)) for k in range(most)]
+    row = points.groupBy(*by).agg(F.array(*counts).alias("c"), F.first("h").alias("h"))
+    scored = row.select(*by, F.posexplode("h").alias("k", "h"), "c").select(*by, F.col("h.iter").alias("iter"), F.get("c", F.col("k")).alias("inliers"))
+    return planes.join(scored, [*by, "iter"])
 
 
-def ransac_plane(df: DataFrame, tao: float = 0.2, max_iters: int = 35, seed: int = 0) -> DataFrame:
-    """nx..nz, px..pz, inliers of the best plane: the first of those with most inliers, if that is more than 2; else no row."""
-    scored = ransac_scores(df, hypotheses(df, max_iters, seed), tao).where("inliers > 2")
-    return scored.orderBy(F.desc("inliers"), "iter").limit(1)
+def ransac_plane(df: DataFrame, tao: float = 0.2, max_iters: int = 35, seed: int = 0, by: Sequence[str] | None = None) -> DataFrame:
+    """nx..nz, px..pz, inliers of each cloud's best plane: the first of those with most inliers, if that is more than 2; else no row."""
+    by = clouds(df, by)
+    scored = ransac_scores(df, hypotheses(df, max_iters, seed, by), tao, by).where("inliers > 2")
+    if not by:
+        return scored.orderBy(F.desc("inliers"), "iter").limit(1)
+    best = Window.partitionBy(*by).orderBy(F.desc("inliers"), "iter")
+    return scored.withColumn("_best", F.row_number().over(best)).where("_best = 1").drop("_best")
 
 
-def ground_split(df: DataFrame, method: str = "ransac", tao: float = 0.2, max_iters: int = 35, seed: int = 0, fit_on: DataFrame | None = None) -> DataFrame:
-    """``df`` with is_ground and plane_dist. Methods: ransac, lsq, ransac_lsq (a least-squares plane through the first one's inliers).
+def ground_split(df: DataFrame, method: str = "ransac", tao: float = 0.2, max_iters: int = 35, seed: int = 0, fit_on: DataFrame | None = None, by: Sequence[str] | None = None) -> DataFrame:
+    """``df`` with is_ground and plane_dist, by its cloud's plane. Methods: ransac, lsq, ransac_lsq (a least-squares plane through the first one's inliers).
 
-    Without a plane nothing is ground. ``fit_on`` fits the plane to another table, such as a down-sampled cloud.
+    Without a plane nothing is ground. ``fit_on`` fits the planes to another table, such as a down-sampled cloud.
     """
+    by = clouds(df, by)
     base = df if fit_on is None else fit_on
+
+    def split(points: DataFrame, fitted: DataFrame, distance: Column, named: Sequence[str]) -> DataFrame:
+        near = cloud.same_cloud(points, fitted.select(*by, *[F.col(c).alias(f"_{c}") for c in named]), by, "left")
+        return near.withColumn("plane_dist", distance).withColumn("is_ground", F.coalesce(F.col("plane_dist") < tao, F.lit(False))).drop(*[f"_{c}" for c in named])
+
     if method in ("ransac", "ransac_lsq"):
-        plane = ransac_plane(base, tao, max_iters, seed).first()
-        if plane is None:
-            return df.withColumn("plane_dist", F.lit(None).cast("double")).withColumn("is_ground", F.lit(False))
-        normal, through = [plane[f"n{c}"] for c in AXES], [plane[f"p{c}"] for c in AXES]
+        plane = cut(ransac_plane(base, tao, max_iters, seed, by))
+        away = g.normal_distance(g.triple(), *[tuple(F.col(f"_{p}{c}") for c in AXES) for p in "np"])
         if method == "ransac":
-            return cloud.split_by_plane(df, normal, through, tao)
-        base = cloud.split_by_plane(base, normal, through, tao).where("is_ground").select(*base.columns)
+            return split(df, plane, away, PLANE)
+        base = split(base, plane, away, PLANE).where("is_ground").select(*base.columns)
     elif method != "lsq":
         raise ValueError(f"unknown method {method!r}")
-    p = lsq_plane(base).first()
-    if p is None or p["a"] is None:
-        return df.withColumn("plane_dist", F.lit(None).cast("double")).withColumn("is_ground", F.lit(False))
-    d = g.plane_distance(g.triple(), *[F.lit(p[c]) for c in "abcd"])
-    return df.withColumn("plane_dist", d).withColumn("is_ground", F.coalesce(F.col("plane_dist") < tao, F.lit(False)))
+    p = cut(lsq_plane(base, by))
+    return split(df, p, g.plane_distance(g.triple(), *[F.col(f"_{c}") for c in "abcd"]), "abcd")
 
 
-def ground_passes(df: DataFrame, leaf: float = 1.0, tao: float = 0.2, max_iters: int = 35, seeds: Sequence[int] = (0, 1)) -> DataFrame:
-    """Down-sample, then for each seed fit a plane to the sample and classify the whole cloud; the passes are stacked, so points come twice."""
-    sample = voxel.voxel_filter(df, leaf).select(F.xxhash64("hx", "hy", "hz").bitwiseAND(F.lit(2**40 - 1)).alias("point_id"), *AXES)
-    return cloud.stack(*[ground_split(df, "ransac", tao, max_iters, s, fit_on=sample) for s in seeds], tag="pass")
+def ground_passes(df: DataFrame, leaf: float = 1.0, tao: float = 0.2, max_iters: int = 35, seeds: Sequence[int] = (0, 1), by: Sequence[str] | None = None) -> DataFrame:
+    """Down-sample, then for each seed fit a plane to each cloud's sample and classify the whole cloud; the passes are stacked, so points come twice."""
+    by = clouds(df, by)
+    sample = cut(voxel.voxel_filter(df, leaf, by=by).select(*by, F.xxhash64("hx", "hy", "hz").bitwiseAND(F.lit(2**40 - 1)).alias("point_id"), *AXES))
+    return cloud.stack(*[ground_split(df, "ransac", tao, max_iters, s, fit_on=sample, by=by) for s in seeds], tag="pass")

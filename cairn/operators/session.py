@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
@@ -10,9 +11,19 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed and its lineage cut by a reliable checkpoint on shared storage.
 
-    The folder is the session's checkpoint folder; a temporary one is set only where there is none.
+    The folder is the session's checkpoint folder; a temporary one is set only where there is none and all runs in this one process.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairn-"))
     return df.checkpoint()
+
+
+def clouds(df: DataFrame, by: Sequence[str] | None = None) -> list[str]:
+    """The columns that hold clouds apart: those named, else ``cloud_id`` if there is one."""
+    if by is not None:
+        return list(by)
+    return ["cloud_id"] if "cloud_id" in df.columns else []

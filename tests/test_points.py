@@ -159,12 +159,64 @@ def test_spectral_ways_agree(spark):
     edges = neighbors.knn_graph(points(spark, rows), 12).cache()  # one component, so the leading vectors are unique
     sides = []
     for limit in (4000, 0):
-        v = clustering.spectral_embedding(edges, 2, dense_limit=limit, rounds=25).orderBy("point_id").collect()
+        v = clustering.spectral_embedding(edges, 2, dense_limit=limit).orderBy("point_id").collect()
         ratio = np.array([r["v"][1] / r["v"][0] for r in v])
         sides.append(ratio > np.median(ratio))
     assert (sides[0] == sides[1]).all() or (sides[0] != sides[1]).all()
 
 
+def test_spectral_ways_agree_on_close_eigenvalues(spark):
+    """Overlapping blobs, whose leading eigenvalues lie close together: the same subspace either way."""
+    rng = np.random.default_rng(4)
+    rows = np.vstack([rng.normal(size=(60, 2)) + c for c in ((0, 0), (3, 0), (0, 3))]).tolist()
+    edges = neighbors.knn_graph(points(spark, rows), 10).cache()
+    both = [np.array([r["v"] for r in clustering.spectral_embedding(edges, 3, dense_limit=limit).orderBy("point_id").collect()]) for limit in (4000, 0)]
+    q = [np.linalg.qr(v)[0] for v in both]
+    assert np.linalg.svd(q[0].T @ q[1])[1].min() > 1 - 1e-6
+
+
+@pytest.mark.parametrize("r", [0.0, 0.05, 0.2])
+def test_dbscan_against_a_plain_search(spark, r):
+    rng = np.random.default_rng(6)
+    m = np.vstack([rng.random((60, 3)) * 0.6, rng.normal(size=(60, 3)) * 0.02 + 0.3, np.full((7, 3), 0.9)])
+    near = np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1)) <= r
+    core = near.sum(1) >= 5
+    label = np.where(core, np.arange(len(m)), -1)
+    for _ in range(len(m)):
+        label = np.array([min((label[j] for j in np.flatnonzero(near[i] & core)), default=-1) if core[i] else -1 for i in range(len(m))])
+    want = [int(label[i]) if core[i] else min((int(label[j]) for j in np.flatnonzero(near[i] & core)), default=-1) for i in range(len(m))]
+    got = clustering.dbscan(points(spark, m.tolist()), r, 5).orderBy("point_id").collect()
+    assert [x["cluster"] for x in got] == want and [x["is_core"] for x in got] == core.tolist()
+
+
+def test_clouds_are_kept_apart(spark):
+    """Two clouds whose ids collide give, together, the rows of each by itself."""
+    rng = np.random.default_rng(7)
+    xyz = "point_id long, x double, y double, z double, nx double, ny double, nz double"
+    each = {}
+    for name, n, scale in (("a", 60, 1.0), ("b", 45, 0.3)):
+        v = rng.normal(size=(n, 3))
+        each[name] = spark.createDataFrame([(k, *p, *u) for k, (p, u) in enumerate(zip((rng.random((n, 3)) * [scale, 1, 0.2]).tolist(), (v / np.linalg.norm(v, axis=1)[:, None]).tolist()))], xyz).cache()
+    both = each["a"].withColumn("cloud_id", F.lit("a")).union(each["b"].withColumn("cloud_id", F.lit("b"))).cache()
+    ways = {
+        "knn": lambda p: neighbors.knn_join(p, p, 4), "normals": lambda p: features.normals(p, 8), "ground": lambda p: planes.ground_split(p, tao=0.02), "lsq": lambda p: planes.ground_split(p, "ransac_lsq", 0.02),
+        "passes": lambda p: planes.ground_passes(p, 0.1, 0.05), "iss": lambda p: features.iss_keypoints(p, 0.3, 0.2), "skipping": lambda p: features.iss_keypoints(p, 0.3, 0.2, compat_skip=True), "fpfh": lambda p: features.descriptor_rows(features.fpfh(p, 0.2)),
+        "describe": lambda p: features.describe(p, p, 0.2), "dbscan": lambda p: clustering.dbscan(p, 0.15, 4), "kmeans": lambda p: clustering.cluster(p, "kmeans", k=3), "gmm": lambda p: clustering.cluster(p, "gmm", k=2, max_iter=3),
+        "octree": lambda p: trees.octree_leaves(p, 8, 0.05), "kdtree": lambda p: trees.kdtree_leaves(p, 8), "depth": lambda p: trees.depth(trees.octree_leaves(p, 8, 0.05)), "voxel": lambda p: voxel.voxel_filter(p, 0.2),
+        "runs": lambda p: voxel.voxel_filter_hashed(p, 0.2, 5), "slab": lambda p: cloud.low_slab(p, 0.3), "standard": lambda p: cloud.standardize(p), "averaged": lambda p: neighbors.knn_graph(p, 3), "pairwise": lambda p: neighbors.pairwise(p),
+    }
+    for way, f in ways.items():
+        together = f(both)
+        got = canonical_rows(together)
+        want = sorted(x for name, p in each.items() for x in canonical_rows(f(p).withColumn("cloud_id", F.lit(name)).select(*together.columns)))
+        assert got == want, way
+
+
+def canonical_rows(df):
+    cell = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+    return sorted(tuple(cell(x + 0.0 if isinstance(x, float) else x) for x in r) for r in df.collect())
+
+
 def test_components(spark):
     nodes = spark.range(10).withColumnRenamed("id", "point_id")
     edges = spark.createDataFrame([(9, 8), (8, 7), (7, 6), (6, 5), (1, 2)], "src long, dst long")
@@ -229,6 +281,8 @@ def test_kdtree_leaves(spark, split):
     assert leaves.agg(F.sum("n_points")).first()[0] == 64 and leaves.agg(F.max("n_points")).first()[0] <= 4
     same = trees.kdtree_leaves(points(spark, [(1, 1, 1)] * 10), 4, split)
     assert [r["n_points"] for r in same.collect()] == [10]
+    rows = points(spark, [*random_points(spark, 40).round(1).tolist(), *[(0.5, 0.5, 0.5)] * 22])  # nodes split level by level give the same tree
+    assert canonical_rows(trees.kdtree_leaves(rows, 4, split, task=20)) == canonical_rows(trees.kdtree_leaves(rows, 4, split))
 
 
 def test_reindex_is_dense(spark):
@@ -236,6 +290,19 @@ def test_reindex_is_dense(spark):
     assert [tuple(r) for r in cloud.reindex(df, ["v"]).orderBy("v").collect()] == [(k, k) for k in range(1000)]
 
 
+def test_reindex_is_dense_at_size(spark, tmp_path):
+    """A million rows with other columns, written out."""
+    df = spark.range(1_000_000, numPartitions=7).select((F.col("id") * 7919 % 1_000_003).alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("more"))
+    cloud.reindex(df, ["v"]).write.parquet(str(tmp_path / "t"))
+    out = spark.read.parquet(str(tmp_path / "t"))
+    assert tuple(out.agg(F.count_distinct("position"), F.min("position"), F.max("position")).first()) == (1_000_000, 0, 999_999)
+
+
+def test_kdtree_splits_a_line_to_the_end(spark):
+    leaves = trees.kdtree_leaves(points(spark, [(k, 0, 0) for k in range(64)]), 1).collect()
+    assert len(leaves) == 64 and {r["n_points"] for r in leaves} == {1} and {r["depth"] for r in leaves} == {6}
+
+
 def test_pca_rebuild_with_all_components(spark):
     p = cloud.centre(points(spark, random_points(spark, 30).tolist()))
     for r in stats.pca_project(p, stats.pca(p), 3).collect():
