@@ -23,18 +23,13 @@ def lsq_plane(df: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
     return v.select(*by, a.alias("a"), b.alias("b"), c.alias("c"), (-(a * F.col("mean_x") + b * F.col("mean_y") + c * F.col("mean_z"))).alias("d"))
 
 
-def sample_order(seed: int) -> Column:
-    """A fixed shuffle of ids by modular arithmetic, the same in any SQL engine."""
-    return F.pmod(F.col("point_id") * 7919 + 104729 * (seed + 1), F.lit(1000003))
-
-
 def hypotheses(df: DataFrame, n: int = 35, seed: int = 0, by: Sequence[str] | None = None) -> DataFrame:
     """iter, unit normal and a point of planes through n triples of points of each cloud; triples without area are left out.
 
     Only the 3n first points of a cloud's shuffle are gathered.
     """
     by = clouds(df, by)
-    picked = df.select(*by, sample_order(seed).alias("o"), "point_id", *AXES)
+    picked = df.select(*by, voxel.sample_order(seed).alias("o"), "point_id", *AXES)
     if by:
         first = Window.partitionBy(*by).orderBy("o", "point_id")
         picked = picked.withColumn("_first", F.row_number().over(first)).where(F.col("_first") <= 3 * n).drop("_first")
@@ -64,10 +59,10 @@ def ransac_scores(df: DataFrame, planes: DataFrame, tao: float = 0.2, by: Sequen
     if not most:
         return planes.withColumn("inliers", F.lit(0).cast("long"))
     listed = planes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("iter", *PLANE))).alias("h"))
-    of = lambda k, p: tuple(F.col("h")[k][f"{p}{c}"] for c in AXES)
+    of = lambda k, p: tuple(F.get("h", F.lit(k))[f"{p}{c}"] for c in AXES)
     points = cloud.same_cloud(df.select(*by, *AXES), listed, by)
     counts = [F.count(F.when(g.normal_distance(g.triple(), of(k, "n"), of(k, "p")) < tao, 1)) for k in range(most)]
-    row = points.groupBy(*by).agg(F.array(*counts).alias("c"), F.first("h").alias("h"))
+    row = cloud.same_cloud(points.groupBy(*by).agg(F.array(*counts).alias("c")), listed, by)
     scored = row.select(*by, F.posexplode("h").alias("k", "h"), "c").select(*by, F.col("h.iter").alias("iter"), F.get("c", F.col("k")).alias("inliers"))
     return planes.join(scored, [*by, "iter"])
 
@@ -109,5 +104,5 @@ def ground_split(df: DataFrame, method: str = "ransac", tao: float = 0.2, max_it
 def ground_passes(df: DataFrame, leaf: float = 1.0, tao: float = 0.2, max_iters: int = 35, seeds: Sequence[int] = (0, 1), by: Sequence[str] | None = None) -> DataFrame:
     """Down-sample, then for each seed fit a plane to each cloud's sample and classify the whole cloud; the passes are stacked, so points come twice."""
     by = clouds(df, by)
-    sample = cut(voxel.voxel_filter(df, leaf, by=by).select(*by, F.xxhash64("hx", "hy", "hz").bitwiseAND(F.lit(2**40 - 1)).alias("point_id"), *AXES))
+    sample = cut(voxel.voxel_filter(df, leaf, by=by).select(*by, ((F.col("hx") * 2**21 + F.col("hy")) * 2**21 + F.col("hz")).alias("point_id"), *AXES))
     return cloud.stack(*[ground_split(df, "ransac", tao, max_iters, s, fit_on=sample, by=by) for s in seeds], tag="pass")

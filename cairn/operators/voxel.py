@@ -43,9 +43,15 @@ def voxel_filter(df: DataFrame, leaf: float, key: str = "cell", by: Sequence[str
     return grouped.agg(*[F.avg(c).alias(c) for c in AXES], F.count("*").alias("n_points"))
 
 
+def sample_order(seed: int) -> Column:
+    """A fixed shuffle of ids by modular arithmetic, the same in any SQL engine."""
+    return F.pmod(F.pmod("point_id", F.lit(1000003)) * 7919 + 104729 * (seed + 1), F.lit(1000003))
+
+
 def voxel_pick(df: DataFrame, leaf: float, key: str = "cell", seed: int = 0, by: Sequence[str] | None = None) -> DataFrame:
-    """One member of every voxel, at random by a seeded hash of its id."""
-    order = F.struct(F.xxhash64(F.lit(seed), "point_id"), "point_id")
+    """One member of every voxel, the first of a seeded shuffle."""
+    by = clouds(df, by)
+    order = F.struct(sample_order(seed), "point_id")
     by = clouds(df, by)
     grouped = voxels(df, leaf, key, by).groupBy(*by, *_keys(key))
     return grouped.agg(F.min_by(F.struct("point_id", *AXES), order).alias("p")).select(*by, *_keys(key), "p.*")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import cloud, clustering, features, graph, neighbors, planes, stats, trees, voxel
+from ..operators.session import cut
 from ..sources import synthetic, tables
 from . import compare, sql
 
@@ -42,7 +43,13 @@ def r6(*exprs: str) -> str:
     return ", ".join(f"round({e}, 6) + 0.0 AS {n}" for e, _, n in parts)
 
 
+def near(*exprs: str, places: int = 4) -> str:
+    """SQL as of ``r6``, to fewer places: eigenvectors lose some to close eigenvalues."""
+    return r6(*exprs).replace(", 6)", f", {places})")
+
+
 XYZ = ("x", "y", "z")
+V = ("vx", "vy", "vz")
 
 # --- projections, filters, aggregates --------------------------------------
 
@@ -129,15 +136,21 @@ def pca_eigenvalues(s, d):
     return rounded(stats.scatter_eigenvalues(stats.covariance(tables.bulk(s, d))), "l1", "l2", "l3")
 
 
-@register()
+def _vectors(source: str) -> list[str]:
+    return [sql.covariance(source), sql.eigen("cov"), *[sql.eigenvector("eig", f"l{k}", f"e{k}") for k in (1, 2, 3)]]
+
+
+@register(sql.query(" UNION ALL ".join(f"SELECT {k} AS component, {near(f'l{k} AS eigenvalue', *V)} FROM e{k}" for k in (1, 2, 3)), B, *_vectors("bulk")))
 def pca_components(s, d):
-    return rounded(stats.pca(tables.bulk(s, d)), "eigenvalue", "vx", "vy", "vz")
+    return rounded(stats.pca(tables.bulk(s, d)), "eigenvalue", *V, places=4)
 
 
-@register()
+@register(sql.query(f"""SELECT point_id, {near('x', 'y', 'z', 'p1', 'p2', *[f'p1 * a{c} + p2 * b{c} AS r{c}' for c in XYZ])} FROM (
+  SELECT c.*, a.vx AS ax, a.vy AS ay, a.vz AS az, b.vx AS bx, b.vy AS by_, b.vz AS bz, x * a.vx + y * a.vy + z * a.vz AS p1, x * b.vx + y * b.vy + z * b.vz AS p2 FROM centred c CROSS JOIN e1 a CROSS JOIN e2 b)""".replace("by AS ry", "by_ AS ry").replace("p2 * by,", "p2 * by_,"),
+  P, "centred AS (SELECT point_id, " + ", ".join(f"{c} - (SELECT avg({c}) FROM pts) AS {c}" for c in XYZ) + " FROM pts)", *_vectors("centred")))
 def pca_rebuild(s, d):
     p = cloud.centre(tables.pts(s, d).select("point_id", *XYZ))
-    return rounded(stats.pca_project(p, stats.pca(p), 2), "p1", "p2", "rx", "ry", "rz")
+    return rounded(stats.pca_project(p, stats.pca(p), 2), *XYZ, "p1", "p2", "rx", "ry", "rz", places=4)
 
 
 # --- voxels -----------------------------------------------------------------
@@ -176,7 +189,7 @@ def voxel_hashed_runs(s, d):
     return rounded(voxel.voxel_filter_hashed(tables.pts(s, d), 0.1, 20), *XYZ)
 
 
-@register()
+@register(sql.query(f"SELECT CAST(hx AS BIGINT) AS hx, CAST(hy AS BIGINT) AS hy, CAST(hz AS BIGINT) AS hz, point_id, x, y, z FROM (SELECT *, {_CELL.format(t='pts', l=0.1)} FROM pts) QUALIFY row_number() OVER (PARTITION BY hx, hy, hz ORDER BY ((point_id % 1000003) * 7919 + 104729) % 1000003, point_id) = 1", P))
 def voxel_random_pick(s, d):
     return voxel.voxel_pick(tables.pts(s, d), 0.1)
 
@@ -252,11 +265,21 @@ def octree_leaves(s, d):
     return trees.octree_leaves(tables.pts(s, d), 32, 0.03)
 
 
-@register()
+@register(sql.query("SELECT * FROM leaves", P, sql.kdtree(32)))
 def kdtree_leaves(s, d):
     return trees.kdtree_leaves(tables.pts(s, d), 32)
 
 
+@register(sql.query("SELECT * FROM leaves", P, sql.kdtree(32, mean=True)))
+def kdtree_leaves_mean(s, d):
+    return trees.kdtree_leaves(tables.pts(s, d), 32, "mean")
+
+
+@register(sql.query("SELECT CAST(max(depth) + 1 AS INTEGER) AS levels, count(*) AS leaves FROM leaves", P, sql.kdtree(32)))
+def kdtree_depth(s, d):
+    return trees.depth(trees.kdtree_leaves(tables.pts(s, d), 32))
+
+
 # --- clusters ---------------------------------------------------------------
 
 
@@ -267,7 +290,7 @@ def nearest_center(s, d):
 
 
 def _kmeans(s, d, rounds):
-    p = tables.pts(s, d).cache()
+    p = cut(tables.pts(s, d))
     return clustering.kmeans(p, CENTERS, max_iter=rounds, tol=0.0).predict(p).select("point_id", "cluster")
 
 
@@ -302,7 +325,7 @@ def _model_rows(s, m):
 
 @register()
 def gmm_50(s, d):
-    p = tables.pts(s, d).cache()
+    p = cut(tables.pts(s, d))
     return clustering.gmm_diag(p, 3).predict(p).select("point_id", "cluster")
 
 
@@ -388,17 +411,27 @@ def ground_two_pass(s, d):
     return cloud.stack(*[planes.ground_split(p, "ransac", TAO, ITERS, k) for k in (0, 1)], tag="pass").select("pass", "point_id", "is_ground")
 
 
-@register()
+_SAMPLE = f"sample AS (SELECT CAST((hx * 2097152 + hy) * 2097152 + hz AS BIGINT) AS point_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM (SELECT *, {_CELL.format(t='op', l=10.0)} FROM op) GROUP BY hx, hy, hz)"
+_PASSES = [x for k in (0, 1) for x in (sql.hypotheses("sample", ITERS, k, f"h{k}"), sql.scores("sample", TAO, f"h{k}", f"s{k}"))]
+
+
+@register(sql.query(" UNION ALL ".join(f"SELECT {k} AS pass, is_ground, count(*) AS n FROM (SELECT abs((x - px) * nx + (y - py) * ny + (z - pz) * nz) < {TAO} AS is_ground FROM op CROSS JOIN s{k}_best) GROUP BY is_ground" for k in (0, 1)), O, _SAMPLE, *_PASSES))
 def ground_passes_voxel(s, d):
     return planes.ground_passes(tables.order_points(s, d), 10.0, TAO, ITERS).groupBy("pass", "is_ground").agg(F.count("*").alias("n"))
 
 
-@register()
+_PLANE = "SELECT vx AS a, vy AS b, vz AS c, -(vx * mx + vy * my + vz * mz) AS d FROM e3"
+_MID = ", avg(x) AS mx, avg(y) AS my, avg(z) AS mz"
+
+
+@register(sql.query(f"SELECT {near('a', 'b', 'c', 'd')} FROM ({_PLANE})", P, sql.covariance("pts", more=_MID), sql.eigen("cov"), sql.eigenvector("eig", "l3", "e3")))
 def lsq_plane(s, d):
-    return rounded(planes.lsq_plane(tables.pts(s, d)), "a", "b", "c", "d")
+    return rounded(planes.lsq_plane(tables.pts(s, d)), "a", "b", "c", "d", places=4)
 
 
-@register()
+@register(sql.query(f"SELECT point_id, abs(a * x + b * y + c * z + d) / sqrt(a * a + b * b + c * c) < 0.05 AS is_ground FROM pts CROSS JOIN ({_PLANE})", P, sql.hypotheses("pts", ITERS), sql.scores("pts", 0.05),
+"inliers AS (SELECT pts.* FROM pts CROSS JOIN scores_best WHERE abs((x - px) * nx_ + (y - py) * ny_ + (z - pz) * nz_) < 0.05)".replace("scores_best", "(SELECT nx AS nx_, ny AS ny_, nz AS nz_, px, py, pz FROM scores_best)"),
+sql.covariance("inliers", more=_MID), sql.eigen("cov"), sql.eigenvector("eig", "l3", "e3")))
 def ground_lsq(s, d):
     return planes.ground_split(tables.pts(s, d), "ransac_lsq", 0.05).select("point_id", "is_ground")
 
@@ -423,9 +456,9 @@ def iss_salient(s, d):
     return rounded(features.salient(tables.pts(s, d), ISS_R).select("point_id", F.col("l3").alias("score")), "score")
 
 
-@register()
+@register(sql.query(f"SELECT point_id, {r6('score')}, CAST(row_number() OVER (ORDER BY i) AS INTEGER) AS order FROM good JOIN chosen USING (i)".replace("AS order", 'AS "order"'), P, sql.scatter(ISS_R), sql.eigen("scatter"), sql.keypoints(ISS_R, g.iou_radius(ISS_R, ISS_T))))
 def iss_keypoints(s, d):
-    return features.iss_keypoints(tables.pts(s, d), ISS_R, ISS_T)
+    return rounded(features.iss_keypoints(tables.pts(s, d), ISS_R, ISS_T), "score")
 
 
 @register(sql.query(f"SELECT query_id, neighbor_id, {r6('CASE WHEN dist = 0 THEN 1.0 WHEN dist >= 0.2 THEN 0.0 ELSE f / (2.0 - f) END AS iou')} FROM (SELECT *, (1.0 - dist / 0.2) * (1.0 - dist / 0.2) * (2.0 + dist / 0.2) / 2.0 AS f FROM pairs)", P, sql.pairs(R)))
@@ -452,14 +485,19 @@ def fpfh(s, d):
     return rounded(features.descriptor_rows(features.fpfh(tables.pts(s, d), R, 6)), "feature")
 
 
-@register()
+def _normals(source: str, where: str) -> str:
+    """Normals from the covariance of each query's neighbours."""
+    return sql.query(f"SELECT point_id, {near('vx AS nx', 'vy AS ny', 'vz AS nz')} FROM e3", P, source, f"around AS (SELECT r.query_id AS point_id, p.x, p.y, p.z FROM {where} r JOIN pts p ON p.point_id = r.neighbor_id)", sql.covariance("around", "point_id", "every_cov"), "cov AS (SELECT * FROM every_cov WHERE xx IS NOT NULL)", sql.eigen("cov"), sql.eigenvector("eig", "l3", "e3"))
+
+
+@register(_normals(sql.ranked(200), "ranked"))
 def normals(s, d):
-    return rounded(features.normals(tables.pts(s, d), 30), "nx", "ny", "nz")
+    return rounded(features.normals(tables.pts(s, d), 200), "nx", "ny", "nz", places=4)
 
 
-@register()
+@register(_normals(sql.pairs(0.2), "pairs"))
 def normals_radius(s, d):
-    return rounded(features.normals(tables.pts(s, d), r=0.2), "nx", "ny", "nz")
+    return rounded(features.normals(tables.pts(s, d), r=0.2), "nx", "ny", "nz", places=4)
 
 
 @register()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cloud, clustering
+from ..operators.session import cut
 from ..sources import synthetic
 
 #: Shape and number of clusters to ask for.
@@ -20,12 +21,11 @@ def compare(spark: SparkSession, methods: Sequence[str] = ("spectral", "kmeans")
     rows, seconds = [], []
     for shape in shapes:
         flat = synthetic.shapes(spark, shape, n).withColumn("z", F.lit(0.0))
-        points = cloud.standardize(flat, ("x", "y")).cache()
+        points = cut(cloud.standardize(flat, ("x", "y")))
         for method in methods:
             began = time.time()
             options = {"r": 0.3, "min_sample": 5} if method == "dbscan" else {"k": SHAPES[shape]}
-            found = clustering.cluster(points, method, **options).cache()
-            found.count()
+            found = cut(clustering.cluster(points, method, **options))
             seconds.append((shape, method, time.time() - began))
             label = F.col("cluster").cast("long")
             rows.append(points.join(found, "point_id").select(F.lit(shape).alias("shape"), F.lit(method).alias("method"), "point_id", "x", "y", "part", label.alias("cluster"), clustering.g.palette(label).alias("colour")))

@@ -77,7 +77,7 @@ edges AS (SELECT src, dst, exp(-(d * d) / 2.0) AS w FROM (
 
 def hypotheses(table: str, n: int, seed: int = 0, label: str = "hyp") -> str:
     return f"""{label}_s AS (SELECT *, row_number() OVER (ORDER BY o, point_id) - 1 AS k FROM (
-    SELECT *, (point_id * 7919 + {104729 * (seed + 1)}) % 1000003 AS o FROM {table}) QUALIFY k < {3 * n}),
+    SELECT *, ((point_id % 1000003) * 7919 + {104729 * (seed + 1)}) % 1000003 AS o FROM {table}) QUALIFY k < {3 * n}),
 {label}_t AS (SELECT CAST(floor(p.k / 3) AS INTEGER) AS iter, p.x AS px, p.y AS py, p.z AS pz, q.x - p.x AS ax, q.y - p.y AS ay, q.z - p.z AS az, r.x - p.x AS bx, r.y - p.y AS by_, r.z - p.z AS bz
   FROM {label}_s p JOIN {label}_s q ON q.k = p.k + 1 JOIN {label}_s r ON r.k = p.k + 2 WHERE p.k % 3 = 0),
 {label}_c AS (SELECT *, ay * bz - az * by_ AS mx, az * bx - ax * bz AS my, ax * by_ - ay * bx AS mz FROM {label}_t),
@@ -123,3 +123,52 @@ walk AS (
   SELECT point_id, x, y, z, lx + half AS cx, ly + half AS cy, lz + half AS cz, half, '' AS path, 0 AS depth FROM pts CROSS JOIN root
   UNION ALL
   SELECT point_id, x, y, z, {move}, half / 2.0, path || CAST({child} AS VARCHAR), depth + 1 FROM walk WHERE depth < {levels})"""
+
+
+def eigenvector(source: str, value: str, label: str) -> str:
+    """Unit eigenvectors vx, vy, vz to the column ``value`` of the matrices xx .. zz, their largest component positive: the longest cross product of two rows."""
+    cross = {"p": ("xy * yz - xz * b2", "xz * xy - a1 * yz", "a1 * b2 - xy * xy"), "q": ("xy * c3 - xz * yz", "xz * xz - a1 * c3", "a1 * yz - xy * xz"), "r": ("b2 * c3 - yz * yz", "yz * xz - xy * c3", "xy * yz - b2 * xz")}
+    cells = ", ".join(f"{e} AS {n}{k}" for n, three in cross.items() for k, e in enumerate(three, 1))
+    lengths = ", ".join(f"{n}1 * {n}1 + {n}2 * {n}2 + {n}3 * {n}3 AS n{n}" for n in cross)
+    pick = ", ".join(f"CASE WHEN np >= nq AND np >= nr THEN p{k} WHEN nq >= nr THEN q{k} ELSE r{k} END / sqrt(greatest(np, nq, nr)) AS u{k}" for k in (1, 2, 3))
+    g = [f"abs(round(u{k}, 12))" for k in (1, 2, 3)]
+    sign = f"CASE WHEN CASE WHEN {g[0]} >= {g[1]} AND {g[0]} >= {g[2]} THEN u1 WHEN {g[1]} >= {g[2]} THEN u2 ELSE u3 END < 0 THEN -1.0 ELSE 1.0 END"
+    return f"""{label}_m AS (SELECT *, xx - {value} AS a1, yy - {value} AS b2, zz - {value} AS c3 FROM {source}),
+{label}_c AS (SELECT *, {cells} FROM {label}_m),
+{label}_n AS (SELECT *, {lengths} FROM {label}_c),
+{label}_u AS (SELECT *, {pick} FROM {label}_n),
+{label} AS (SELECT * EXCLUDE (a1, b2, c3, p1, p2, p3, q1, q2, q3, r1, r2, r3, np, nq, nr, u1, u2, u3), u1 * ({sign}) AS vx, u2 * ({sign}) AS vy, u3 * ({sign}) AS vz FROM {label}_u)"""
+
+
+def covariance(source: str, by: str = "", label: str = "cov", more: str = "") -> str:
+    cells = ", ".join(f"covar_samp({c[0]}, {c[1]}) AS {c}" for c in UPPER)
+    return f"{label} AS (SELECT {by + ', ' if by else ''}{cells}{more} FROM {source}{' GROUP BY ' + by if by else ''})"
+
+
+def kdtree(leaf_size: int, mean: bool = False) -> str:
+    """Leaves of the kd-tree over pts: every point walks down while its node splits; the deepest node of a point is its leaf."""
+    low = [f"quantile_disc({c}, 0.5) OVER (PARTITION BY path) AS l{k}, max({c}) OVER (PARTITION BY path) AS t{k}" for k, c in enumerate("xyz")]
+    turn = " ".join(f"WHEN l{(t + s) % 3} < t{(t + s) % 3} AND turn = {t} AND n > {leaf_size} THEN {(t + s) % 3}" for s in range(3) for t in range(3))
+    at = lambda names: f"CASE a {' '.join(f'WHEN {k} THEN {n}' for k, n in enumerate(names))} END"
+    # the element after the median: the least above it
+    above = f"min(CASE WHEN v > low THEN v END) OVER (PARTITION BY path)" if mean else "low"
+    return f"""walk AS (
+  SELECT point_id, x, y, z, '' AS path, CAST(NULL AS INTEGER) AS axis, CAST(NULL AS DOUBLE) AS value, 0 AS turn FROM pts
+  UNION ALL
+  SELECT point_id, x, y, z, path || CASE WHEN v <= (low + up) / 2.0 THEN '0' ELSE '1' END, a, (low + up) / 2.0, (a + 1) % 3 FROM (
+    SELECT *, {above} AS up FROM (
+      SELECT *, {at('xyz')} AS v, {at(('l0', 'l1', 'l2'))} AS low FROM (
+        SELECT *, CASE {turn} END AS a FROM (SELECT *, count(*) OVER (PARTITION BY path) AS n, {', '.join(low)} FROM walk)) WHERE a IS NOT NULL))),
+leaf AS (SELECT point_id, max(length(path)) AS depth FROM walk GROUP BY point_id),
+leaves AS (SELECT path, depth, count(*) AS n_points, any_value(axis) AS axis, any_value(value) AS value FROM walk JOIN leaf USING (point_id) WHERE length(path) = depth GROUP BY path, depth)"""
+
+
+def keypoints(r: float, reach: float) -> str:
+    """Greedy choice among the salient points of ``eig`` by falling (score, id), one a step, with the list of those kept so far."""
+    return f"""good AS (SELECT point_id, l3 AS score, row_number() OVER (ORDER BY l3 DESC, point_id DESC) AS i FROM eig WHERE l1 * 0.875 > l2 AND l2 * 0.875 > l3),
+foes AS (SELECT g.i, list(h.i) AS f FROM good g JOIN pairs p ON p.query_id = g.point_id JOIN good h ON h.point_id = p.neighbor_id WHERE h.i < g.i AND p.dist < {reach!r} GROUP BY g.i),
+steps AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept
+  UNION ALL
+  SELECT g.i, CASE WHEN list_has_any(s.kept, coalesce(f.f, [])) THEN s.kept ELSE list_append(s.kept, g.i) END FROM steps s JOIN good g ON g.i = s.i + 1 LEFT JOIN foes f ON f.i = g.i),
+chosen AS (SELECT unnest(kept) AS i FROM (SELECT kept FROM steps ORDER BY i DESC LIMIT 1))"""
