@@ -18,6 +18,7 @@ import functools
 import math
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of a segment, at most.
 LONGEST = 20
-#: Characters of a window on both sides of a trigger.
+#: Characters of a window on both sides of a trigger, at least; it goes on to where the next white space follows.
 REACH = 48
+#: Segments whose scores are held at once.
+HELD = 100_000
 #: Log odds that an added segment needs.
 ODDS = 1.5
 
@@ -88,14 +91,27 @@ _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
 
 
 def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans around triggers; windows that touch are one."""
+    """Token spans around triggers; windows that touch are one. None begins or ends inside a run of characters without white space
+    that reaches its trigger, and a segment has at most ``LONGEST`` tokens, so what the field can choose lies whole in a window."""
     found = []
     for m in _TRIGGER.finditer(text):
         if found and m.start() <= found[-1][1]:
-            found[-1][1] = max(found[-1][1], m.end() + REACH)
+            if m.end() + REACH <= found[-1][1]:
+                continue
         else:
-            found.append([max(0, m.start() - REACH), m.end() + REACH])
-    return [[t.span() for t in _TOKEN.finditer(text, a, min(b, len(text)))] for a, b in found]
+            found.append([_back(text, max(0, m.start() - REACH)), 0])
+        end = _SPACE.search(text, min(len(text), m.end() + REACH))
+        found[-1][1] = end.start() if end else len(text)
+    return [[t.span() for t in _TOKEN.finditer(text, a, b)] for a, b in found]
+
+
+_SPACE = re.compile(r"\s")
+
+
+def _back(text: str, at: int) -> int:
+    while at and not text[at - 1].isspace():
+        at -= 1
+    return at
 
 
 def features(text: str, a: int, b: int) -> list[str]:
@@ -113,6 +129,10 @@ def features(text: str, a: int, b: int) -> list[str]:
         out.append("four bytes" if all(map(_small, groups)) else "four numbers")
     if re.fullmatch(r"[\w.%+-]+\s?(?:@|[\[({]at[\])}])\s?[\w-]+(?:\s?(?:\.|[\[({]dot[\])}])\s?[\w-]+)+", s):
         out.append("address")
+        edges = (not before or not (before.isalnum() or before in "._%+-")), not after or not (after.isalnum() or after == "-")
+        out.append(f"address {edges}")
+        if "@" not in s:
+            out.append(f"loose address {edges}")
     out.append("left " + ("edge" if not before or before.isspace() else "word" if before.isalnum() else "mark"))
     out.append("right " + ("edge" if not after or after.isspace() else "word" if after.isalnum() else "mark"))
     if "\n" in s:
@@ -120,14 +140,12 @@ def features(text: str, a: int, b: int) -> list[str]:
     return out
 
 
-def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Candidate (first, last + 1) tokens: they hold seven digits, or a digit group and three dots, or an at-sign."""
-    out = []
+def reaching(text: str, tokens: list[tuple[int, int]]) -> Iterator[list[int]]:
+    """For each token the ends (last + 1) of the candidate segments that begin there: they hold seven digits, or a digit group and three dots, or an at-sign."""
     for i, (a, _) in enumerate(tokens):
-        if not (text[a].isalnum() or text[a] in "+("):
-            continue
+        out: list[int] = []
         digits = dots = at = 0
-        for j in range(i, min(i + LONGEST, len(tokens))):
+        for j in range(i, min(i + LONGEST, len(tokens))) if text[a].isalnum() or text[a] in "+(" else ():
             x, y = tokens[j]
             c = text[x]
             if j > i and (gap := x - tokens[j - 1][1]):  # words apart don't join but beside brackets
@@ -138,8 +156,13 @@ def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
             dots += c == "."
             at += c == "@" or text[x:y] == "at"
             if c.isalnum() and (digits >= 7 or at or (dots == 3 and digits)):
-                out.append((i, j + 1))
-    return out
+                out.append(j + 1)
+        yield out
+
+
+def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """All candidate (first, last + 1) tokens."""
+    return [(i, j) for i, ends in enumerate(reaching(text, tokens)) for j in ends]
 
 
 class Model:
@@ -147,30 +170,39 @@ class Model:
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.weights = weights
-
-    def scores(self, text: str, tokens: list, found: list) -> list[np.ndarray]:
-        zero = np.zeros(len(KINDS))
-        return [sum((self.weights.get(f, zero) for f in features(text, tokens[i][0], tokens[j - 1][1])), zero) for i, j in found]
-
-    def best(self, text: str, tokens: list) -> list[tuple[int, int, int]]:
-        """The most likely segmentation's segments."""
-        found = segments(text, tokens)
-        ending: dict[int, list] = {}
-        for (i, j), s in zip(found, self.scores(text, tokens, found), strict=True):
-            ending.setdefault(j, []).append((i, int(s.argmax()), float(s.max())))
-        top, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
-        for t in range(1, len(tokens) + 1):
-            top[t] = top[t - 1]
-            for i, k, s in ending.get(t, ()):
-                if s >= ODDS and top[i] + s > top[t]:
-                    top[t], back[t] = top[i] + s, (i, k)
+        self.known: dict[tuple[str, str, str], tuple[int, float]] = {}
+
+    def score(self, text: str, a: int, b: int) -> tuple[int, float]:
+        """The best kind of a segment and its score; the same for the same characters in it and beside it."""
+        key = text[max(0, a - 1) : a], text[a:b], text[b : b + 1]
+        if key not in self.known:
+            if len(self.known) >= HELD:
+                self.known.clear()
+            total = np.zeros(len(KINDS))
+            for f in features(text, a, b):
+                if (w := self.weights.get(f)) is not None:
+                    total += w
+            self.known[key] = int(total.argmax()), float(total.max())
+        return self.known[key]
+
+    def best(self, text: str, tokens: list, least: float = ODDS) -> list[tuple[int, int, int]]:
+        """Those segments of the most likely segmentation that score ``least``."""
+        top, back = [0.0] + [-math.inf] * len(tokens), [None] * (len(tokens) + 1)
+        for t, ends in enumerate(reaching(text, tokens)):
+            if top[t] > top[t + 1]:
+                top[t + 1], back[t + 1] = top[t], None
+            for j in ends:
+                k, s = self.score(text, tokens[t][0], tokens[j - 1][1])
+                if s > 0 and top[t] + s > top[j]:
+                    top[j], back[j] = top[t] + s, (t, k, s)
         out, t = [], len(tokens)
         while t:
             if back[t] is None:
                 t -= 1
             else:
-                i, k = back[t]
-                out.append((tokens[i][0], tokens[t - 1][1], k))
+                i, k, s = back[t]
+                if s >= least:
+                    out.append((tokens[i][0], tokens[t - 1][1], k))
                 t = i
         return out[::-1]
 

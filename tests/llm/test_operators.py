@@ -301,6 +301,37 @@ def test_random_field():
         assert pii.find(clean, model) == ([], [])
 
 
+def test_best_segmentation_against_enumeration():
+    """The dynamic program's segments have the highest total of all ways to choose disjoint candidates."""
+    model = pii.train()
+    for text, _ in pii.examples(60, 4321):
+        for tokens in pii.windows(text):
+            found = [(i, j, *model.score(text, tokens[i][0], tokens[j - 1][1])) for i, j in pii.segments(text, tokens)]
+            good = [x for x in found if x[3] > -2][:14]  # all that could be chosen, and some that couldn't
+
+            def best(at, end):
+                if at == len(good):
+                    return 0.0
+                i, j, _, s = good[at]
+                rest = best(at + 1, end)
+                return max(rest, s + best(at + 1, j)) if i >= end else rest
+
+            good.sort()
+            chosen = model.best(text, tokens, -math.inf)
+            scores = {(tokens[i][0], tokens[j - 1][1]): s for i, j, _, s in found}
+            if len([x for x in found if x[3] > -2]) <= 14:
+                assert sum(scores[a, b] for a, b, _ in chosen) == pytest.approx(best(0, 0))
+            assert [x for x in chosen if scores[x[:2]] >= pii.ODDS] == model.best(text, tokens)
+
+
+def test_loose_addresses_of_any_length():
+    model = pii.train()
+    for address in ("smith(at)mail(dot)org", "smith [at] mail [dot] org", "s" * 300 + "_smith[at]mail.org", "jo.do(at)" + "mail" * 40 + "(dot)org"):
+        for text in (address, f"write {address} now", f"{'word ' * 50}\n{address}, he said"):
+            assert [text[a:b] for a, b, _ in pii.find(text, model)[1]] == [address]
+    assert pii.find("they met at noon (at) the gate, dot by dot", model) == ([], [])
+
+
 def test_pii(odd, none):
     rows = {repr(r["doc_id"]): r for r in pii.detect(clashing(odd)).collect()}
     assert len(rows) == len(ODD) - 1 and rows["1"]["spans"] == "" and rows["10"]["base"].count(":") == 8
