@@ -500,7 +500,12 @@ def normals_radius(s, d):
     return rounded(features.normals(tables.pts(s, d), r=0.2), "nx", "ny", "nz", places=4)
 
 
-@register()
+@register(sql.query(f"""SELECT point_id AS key_idx, CAST(c AS INTEGER) AS index, {r6('v / sqrt(sum(v * v) OVER (PARTITION BY point_id)) AS feature')} FROM (
+  SELECT s.point_id, s.c, s.v + m.t / n.n AS v FROM spfh s
+  JOIN (SELECT a.query_id AS point_id, o.c, sum(o.v / a.dist) AS t FROM angles a JOIN spfh o ON o.point_id = a.neighbor_id GROUP BY a.query_id, o.c) m ON m.point_id = s.point_id AND m.c = s.c
+  JOIN (SELECT query_id AS point_id, count(*) AS n FROM angles GROUP BY query_id) n ON n.point_id = s.point_id)
+WHERE point_id IN (SELECT point_id FROM good JOIN chosen USING (i)) AND point_id IN (SELECT point_id FROM pts WHERE y <= (SELECT min(y) FROM pts) + 0.5 AND z <= (SELECT min(z) FROM pts) + 0.5)""",
+P, sql.scatter(ISS_R), sql.eigen("scatter"), sql.keypoints(ISS_R, g.iou_radius(ISS_R, ISS_T)), sql.spfh(0.2, 6)))
 def describe_keypoints(s, d):
     p = tables.pts(s, d)
     return rounded(features.describe(p, features.iss_keypoints(p, ISS_R, ISS_T), height=0.5), "feature")
@@ -509,23 +514,27 @@ def describe_keypoints(s, d):
 # --- generated sets -----------------------------------------------------------
 
 
-@register()
+@register(f"SELECT point_id, {r6(*[f'{sql.uniform(10 + k)} AS {c}' for k, c in enumerate(XYZ)])} FROM {sql.ids(64_000)}")
 def synthetic_cube(s, d):
     return rounded(synthetic.cube(s, 64_000), *XYZ)
 
 
-@register()
+@register(f"""SELECT point_id, {r6(*[f"{sql.gaussian(k)} * sqrt(CASE c WHEN 0 THEN {v[0]} WHEN 1 THEN {v[1]} ELSE {v[2]} END) + CASE c WHEN 0 THEN {m[0]} WHEN 1 THEN {m[1]} ELSE {m[2]} END AS {a}" for k, (a, v, m) in enumerate((('x', (1.0, 2.0, 6.0), (0.5, 5.5, 1.0)), ('y', (3.0, 2.0, 2.0), (0.5, 2.5, 7.0))))])}, c AS component
+FROM (SELECT *, CAST(point_id >= 400 AS INTEGER) + CAST(point_id >= 1000 AS INTEGER) AS c FROM {sql.ids(2000)})""")
 def synthetic_gaussians(s, d):
     return rounded(synthetic.gaussians(s), "x", "y")
 
 
-@register()
+_SHAPES = ("circles", "moons", "blobs", "uniform", "sheared", "varied")
+
+
+@register(" UNION ALL ".join(f"SELECT {k} AS shape, point_id, {r6('x', 'y')}, part FROM ({sql.shape(kind)})" for k, kind in enumerate(_SHAPES)))
 def synthetic_shapes(s, d):
-    kinds = ("circles", "moons", "blobs", "uniform", "sheared", "varied")
+    kinds = _SHAPES
     return rounded(cloud.stack(*[synthetic.shapes(s, k).select("point_id", "x", "y", "part") for k in kinds], tag="shape"), "x", "y")
 
 
-@register()
+@register(sql.query(f"SELECT draw, pts.point_id, x, y, z FROM (SELECT point_id AS draw, CAST(floor({sql.uniform(0)} * (SELECT count(*) FROM pts)) AS BIGINT) AS pick FROM {sql.ids(1000)}) JOIN pts ON pts.point_id = pick", P))
 def sampled_rows(s, d):
     return synthetic.sample_rows(tables.pts(s, d).select("point_id", *XYZ), 1000)
 

@@ -172,3 +172,36 @@ steps AS (
   UNION ALL
   SELECT g.i, CASE WHEN list_has_any(s.kept, coalesce(f.f, [])) THEN s.kept ELSE list_append(s.kept, g.i) END FROM steps s JOIN good g ON g.i = s.i + 1 LEFT JOIN foes f ON f.i = g.i),
 chosen AS (SELECT unnest(kept) AS i FROM (SELECT kept FROM steps ORDER BY i DESC LIMIT 1))"""
+
+
+def uniform(stream: int, seed: int = 0) -> str:
+    """A number in (0, 1) from point_id."""
+    h = f"((point_id % 2147483647) * 48271 + {stream * 69621 + seed * 16807 + 12345}) % 2147483647"
+    for factor in (48271, 69621):
+        h = f"(({h}) * ({h}) + ({h}) * {factor} + 11) % 2147483647"
+    return f"((CAST({h} AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(2147483647 AS DOUBLE))"
+
+
+def gaussian(stream: int) -> str:
+    return f"(sqrt(-2.0 * ln({uniform(2 * stream)})) * cos(2.0 * pi() * {uniform(2 * stream + 1)}))"
+
+
+def ids(n: int) -> str:
+    return f"(SELECT CAST(range AS BIGINT) AS point_id FROM range({n}))"
+
+
+def shape(kind: str, n: int = 1500) -> str:
+    """point_id, x, y, part of a comparison set."""
+    half = n // 2
+    e, t = [f"{gaussian(k)} * 0.05" for k in (0, 1)], f"CASE WHEN point_id < {half} THEN point_id / CAST({half} AS DOUBLE) ELSE (point_id - {half}) / CAST({n - half} AS DOUBLE) END"
+    part = f"CAST(point_id >= {half} AS INTEGER)"
+    if kind == "circles":
+        return f"SELECT point_id, r * cos(a) + e AS x, r * sin(a) + f AS y, part FROM (SELECT point_id, CASE WHEN point_id < {half} THEN 1.0 ELSE 0.5 END AS r, ({t}) * 2.0 * pi() AS a, {e[0]} AS e, {e[1]} AS f, {part} AS part FROM {ids(n)})"
+    if kind == "moons":
+        return f"SELECT point_id, CASE WHEN part = 0 THEN cos(a) ELSE 1.0 - cos(a) END + e AS x, CASE WHEN part = 0 THEN sin(a) ELSE 0.5 - sin(a) END + f AS y, part FROM (SELECT point_id, ({t}) * pi() AS a, {e[0]} AS e, {e[1]} AS f, {part} AS part FROM {ids(n)})"
+    if kind == "uniform":
+        return f"SELECT point_id, {uniform(10)} AS x, {uniform(11)} AS y, 0 AS part FROM {ids(n)}"
+    pick = lambda a: f"CASE point_id % 3 WHEN 0 THEN {a[0]} WHEN 1 THEN {a[1]} ELSE {a[2]} END"
+    wide = pick((1.0, 2.5, 0.5)) if kind == "varied" else "1.0"
+    out = f"SELECT point_id, {gaussian(0)} * ({wide}) + ({pick((-7.0, 2.0, 7.0))}) AS x, {gaussian(1)} * ({wide}) + ({pick((-4.0, 6.0, -6.0))}) AS y, CAST(point_id % 3 AS INTEGER) AS part FROM {ids(n)}"
+    return f"SELECT point_id, x * 0.6 + y * -0.4 AS x, x * -0.6 + y * 0.8 AS y, part FROM ({out})" if kind == "sheared" else out

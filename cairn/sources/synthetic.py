@@ -1,4 +1,4 @@
-"""Seeded synthetic point sets. Numbers come from hashes of row ids, so any partitioning gives the same points."""
+"""Seeded synthetic point sets. Numbers come from row ids by modular arithmetic, so any partitioning gives the same points."""
 
 from __future__ import annotations
 
@@ -9,10 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+PRIME = 2**31 - 1
+
+
 def uniform(seed: int, stream: int) -> Column:
-    """In (0, 1), from the column ``point_id``."""
-    h = F.xxhash64(F.lit(seed), F.lit(stream), "point_id").bitwiseAND(F.lit(2**52 - 1))
-    return (h.cast("double") + 0.5) / float(2**52)
+    """In (0, 1), from the column ``point_id``: a linear and two quadratic steps modulo a prime, the same in any SQL engine."""
+    h = F.pmod(F.pmod("point_id", F.lit(PRIME)) * 48271 + (stream * 69621 + seed * 16807 + 12345), F.lit(PRIME))
+    for factor in (48271, 69621):
+        h = F.pmod(h * h + h * factor + 11, F.lit(PRIME))
+    return (h.cast("double") + 0.5) / float(PRIME)
 
 
 def gaussian(seed: int, stream: int) -> Column:
