@@ -46,6 +46,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[f"q.{c}" for c in quality.BASE], "q.base_failed", "q.kept", "q.n_grams", "q.ratio")
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of ``op7_quality_rules`` and the verdict they give by themselves, which SQL can express."""
+    return op7_quality_rules(spark, sf_dir).select("doc_id", *quality.BASE, "base_failed")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of ``op6_pii`` that SQL can express: addresses in the patterns' order, numbers by their digits."""
+    return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_phone")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find(read(spark, sf_dir, "documents"))
 
@@ -60,9 +70,36 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_chat_format, op4_exact_top_k, op5_language_model, op6_pii, op7_quality_rules, op8_license_scan, op9_line_dedup, op10_near_dedup)
+    f.__name__: f for f in (quality_base, pii_base, op1_packing, op2_byte_bpe, op3_chat_format, op4_exact_top_k, op5_language_model, op6_pii, op7_quality_rules, op8_license_scan, op9_line_dedup, op10_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {
+    "quality_base": r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda k: [w[k], w[k + 1], w[k + 2]])) AS g FROM w WHERE len(w) > 2),
+twice AS (SELECT r, g FROM grams GROUP BY r, g HAVING count(*) > 1),
+covered AS (SELECT r, count(DISTINCT i + o) AS n FROM grams JOIN twice USING (r, g) CROSS JOIN (SELECT unnest([0, 1, 2]) AS o) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+counted AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN lines USING (r) LEFT JOIN covered USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+""",
+    "pii_base": r"""
+WITH found AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS email,
+         regexp_extract_all(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') AS ip,
+         regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]') AS phone
+  FROM documents)
+SELECT doc_id, coalesce(len(email), 0) AS n_email,
+       coalesce(len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda y: CAST(y AS HUGEINT) > 255)) = 0)), 0) AS n_ip,
+       coalesce(len(list_filter(phone, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 10 AND 15)), 0) AS n_phone
+FROM found
+""",
     "op3_chat_format": chat.ORACLE_SQL,
     "op4_exact_top_k": """
 WITH v AS (
