@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cairn.llm import byte_bpe, chat, exact_search, language_model, licenses, line_dedup, near_dedup, packing, pii, quality, queries, word_tokens
@@ -633,17 +634,57 @@ def test_query_columns(spark, sf):
     assert d["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
-def test_pipeline(spark, sf, tmp_path, odd):
+def plain_kept(rows, weights):
+    """Ids of the documents that the quality rules keep, from plain counts and the table of bucket weights."""
+    kept = set()
+    for d, t in rows:
+        w = [x for x in re.split("[ \t\n\x0b\x0c\r]+", t or "") if x]
+        seen = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        repeats = len({k + x for k in range(len(w) - 2) if seen[tuple(w[k : k + 3])] > 1 for x in range(3)})
+        h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in w]
+        h += [xxhash.xxh64_intdigest(b.encode(), seed=a) for a, b in zip(list(h), w[1:])]
+        total = sum(int(weights[x % quality.BUCKETS]) for x in h)  # a power of two, so the sign of the hash doesn't matter
+        if len(w) >= 50 and 100 * repeats <= 50 * len(w) and total >= math.floor(quality.THRESHOLD * quality.SCALE) * len(h):
+            kept.add(d)
+    return kept
+
+
+def test_pipeline(spark, sf, odd):
+    """Every stage's rows, from those of the one before, against plain versions; odd rows pass every stage."""
     import corpus_pipeline as p
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    before = docs.count()
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    weights = quality.ratios(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     for name, stage in p.STAGES[:-1]:
         docs = p.common.keep(stage(spark, docs, sf))
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 0 < docs.count() <= before, name
-        before = docs.count()
-    packed = p.STAGES[-1][1](spark, docs, sf)
-    assert packed.select("doc_id").distinct().count() == before
-    for rows in (odd, odd.limit(0)):  # odd rows pass every stage
-        for name, stage in p.STAGES:
-            assert stage(spark, rows, sf).count() >= 0, name
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        if name == "quality_rules":
+            kept = plain_kept(rows, weights)
+            rows = [x for x in rows if x[0] in kept]
+        elif name == "line_dedup":
+            texts = dict(plain_line_dedup(rows))
+            rows = [(d, texts[repr(d)]) for d, _ in rows]
+        elif name == "near_dedup":
+            label = plain_classes(rows)
+            least = {x: min(d for (d, _), y in zip(rows, label) if y == x) for x in set(label)}
+            rows = [x for x in rows if x[0] in least.values()]
+        else:
+            rows = [(d, pii.mask_text(t, pii.train())) for d, t in rows]
+        assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == sorted(rows), name
+    full, want = word_tokens.load(WORDS).full, []
+    for d, t in rows:
+        ids = [*full.encode(t, add_special_tokens=False).ids, 0]
+        want += [(d, k, 2048 * k, len(x := ids[2048 * k : 2048 * k + 2048]), zlib.crc32(np.array(x, "<u4").tobytes())) for k in range(-(-len(ids) // 2048))]
+    packed = p.STAGES[-1][1](spark, docs, sf).collect()
+    assert sorted(tuple(r)[:5] for r in packed) == sorted(want)
+    fill = collections.Counter()
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == fill[r["sequence_id"]]
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 2048 and len(fill) <= 1.02 * sum(fill.values()) / 2048 + 1
+    shapes = []
+    for rows in (odd, odd.limit(0), clashing(odd)):
+        for _, stage in p.STAGES:
+            shapes.append(stage(spark, rows, sf).count())
+    assert shapes[1:4] == [len(ODD), len(ODD) - 4, len(ODD)] and shapes[4] > len(ODD) and shapes[5:10] == [0] * 5 and shapes[10:] == shapes[:5]
