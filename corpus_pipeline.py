@@ -2,6 +2,11 @@
 
 Every stage works on all that the one before it kept and gives Parquet to the next. All but the last keep the columns of
 documents; n_chars stays the source's figure when a stage shortens a text.
+
+Null and empty texts have too few words, so the first stage rejects them; a stage that is given them treats them as its operator states.
+Null ids are never labelled, and a class of near duplicates that has only null ids keeps one row. Rows that repeat an id are judged, masked and packed
+each by its own text; those that repeat id and words come out of near-duplicate removal once, and of a class the least id stays.
+Further columns pass through, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
