@@ -260,7 +260,8 @@ def _words(row: dict) -> pa.Array:
 
 def _rows(batches):
     for b in batches:
-        yield from b.to_pylist()
+        for k in range(b.num_rows):  # a row is a whole shard: one at a time
+            yield b.slice(k, 1).to_pylist()[0]
 
 
 def _rng(*key: int) -> np.random.Generator:
