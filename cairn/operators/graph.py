@@ -14,19 +14,20 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "point_
     """``node`` and ``label`` (the least node of its component); ``by`` holds graphs apart.
 
     Each round takes the least label among neighbours and then that label's own label, so the rounds follow the logarithm of
-    the longest path. Lineage is cut every round and before labels are joined, so that a label that many nodes have can be split; labels never leave the executors.
+    the longest path. Lineage is cut every round; labels never leave the executors.
     """
     by = list(by)
     both = cut(edges.select(*by, "src", "dst").union(edges.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
     labels = cut(nodes.select(*by, F.col(node).alias("n")).distinct().withColumn("label", F.col("n")))
     while True:
         near = both.join(labels.withColumnRenamed("n", "dst"), [*by, "dst"]).groupBy(*by, F.col("src").alias("n")).agg(F.min("label").alias("near"))
-        step = cut(labels.join(near, [*by, "n"], "left").select(*by, "n", F.col("label").alias("was"), F.least("label", "near").alias("label")))
-        if step.where("label <> was").isEmpty():
-            return step.select(*by, F.col("n").alias(node), "label")
-        far = step.where("label <> n").select(*by, F.col("n").alias("label"), F.col("label").alias("far"))
-        far = cut(far.join(step.select(*by, "label").distinct(), [*by, "label"], "left_semi"))
-        labels = cut(step.join(far, [*by, "label"], "left").select(*by, "n", F.coalesce("far", "label").alias("label")))
+        step = labels.join(near, [*by, "n"], "left").select(*by, "n", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        # as a sum the key is dealt anew on this side too, so that a label that many nodes have can be split
+        far = step.where("label <> n").select(*by, (F.col("n") + F.lit(0)).alias("label"), F.col("label").alias("far"))
+        step = cut(step.join(far, [*by, "label"], "left").select(*by, "n", F.coalesce("far", "label").alias("label"), (F.col("label") != F.col("was")).alias("moved")))
+        labels = step.select(*by, "n", "label")
+        if step.where("moved").isEmpty():
+            return labels.withColumnRenamed("n", node)
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

@@ -86,8 +86,9 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool =
     by = clouds(points, by)
     want = k + 1 if exclude_self else k
     box = points.groupBy(*by).agg(*[F.min(c).alias(f"l{c}") for c in AXES], F.greatest(*[F.max(c) - F.min(c) for c in AXES]).alias("side"), F.count("*").alias("n"))
-    box = cut(box.withColumn("side", F.when(F.col("side") > 0, F.col("side")).otherwise(1.0)))
-    most = box.agg(F.max("n")).first()[0] or 0
+    box = box.withColumn("side", F.when(F.col("side") > 0, F.col("side")).otherwise(1.0))
+    box = cut(box) if by else box.sparkSession.createDataFrame(box.collect(), box.schema)  # one row
+    most = (box.agg(F.max("n")) if by else box.select("n")).first()[0] or 0
     deep = min(30, max(0, math.ceil(math.log2(max(1, most / want)) / 3)) + 8)
     levels = F.sequence(F.lit(0), F.lit(deep))
     cell = ["ci", "cj", "ck"]
@@ -114,11 +115,11 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool =
     spots = q.select(*by, *cell).distinct().select(*by, *[F.col(c).alias(f"d{c}") for c in cell], *cell)
     depth = leveled(spots, levels).join(full, [*by, "level", *cell]).groupBy(*by, *[f"d{c}" for c in cell]).agg(F.max("level").alias("level"))
     depth = cut(depth.withColumnsRenamed({f"d{c}": c for c in cell}))
-    used = F.array(*[F.lit(r["level"]) for r in depth.select("level").distinct().collect()])  # at most 31 numbers
+    used = [r["level"] for r in depth.select("level").distinct().collect()]  # at most 31 numbers
     here = q.join(depth, [*by, *cell]).withColumns({c: up(c, F.col("level")) for c in cell})
-    pairs = here.join(leveled(p.select(*by, "neighbor_id", *[f"n_{c}" for c in AXES], *cell), used), [*by, "level", *cell]) if depth.head(1) else None
     reach = q.drop(*cell)
-    if pairs is not None:
+    if used:
+        pairs = here.join(leveled(p.select(*by, "neighbor_id", *[f"n_{c}" for c in AXES], *cell), F.array(*map(F.lit, used))), [*by, "level", *cell])
         kth = pairs.groupBy(*by, "query_id").agg(F.sort_array(F.collect_list(_gap()))[want - 1].alias("r"))
         reach = reach.join(kth, [*by, "query_id"], "left")
     else:

@@ -50,10 +50,19 @@ PLANE = [f"{p}{c}" for p in "np" for c in AXES]
 def ransac_scores(df: DataFrame, planes: DataFrame, tao: float = 0.2, by: Sequence[str] | None = None) -> DataFrame:
     """``planes`` with their inliers (strictly nearer than ``tao``) in their cloud.
 
-    All planes are scored in one pass: a cloud's planes come to each of its points as one array, and every place in it is one conditional
-    count, so no point is copied.
+    All planes are scored in one pass: every plane is one conditional count, so no point is copied. One cloud's planes are literals;
+    those of many come to the points of each as one array.
     """
     by = clouds(df, by)
+    if not by:
+        found = planes.collect()  # as many as iterations were asked for
+        if not found:
+            return planes.withColumn("inliers", F.lit(0).cast("long"))
+        lit = lambda r, p: tuple(F.lit(r[f"{p}{c}"]) for c in AXES)
+        counts = [F.count(F.when(g.normal_distance(g.triple(), lit(r, "n"), lit(r, "p")) < tao, 1)) for r in found]
+        row = df.agg(F.array(*counts).alias("c"), F.array(*[F.lit(r["iter"]) for r in found]).alias("i"))
+        scored = row.select(F.explode(F.arrays_zip("c", "i")).alias("s")).select(F.col("s.i").alias("iter"), F.col("s.c").alias("inliers"))
+        return planes.join(F.broadcast(scored), "iter")
     planes = cut(planes)
     most = planes.groupBy(*by).count().agg(F.max("count")).first()[0]  # as many as iterations were asked for
     if not most:
@@ -89,15 +98,18 @@ def ground_split(df: DataFrame, method: str = "ransac", tao: float = 0.2, max_it
         near = cloud.same_cloud(points, fitted.select(*by, *[F.col(c).alias(f"_{c}") for c in named]), by, "left")
         return near.withColumn("plane_dist", distance).withColumn("is_ground", F.coalesce(F.col("plane_dist") < tao, F.lit(False))).drop(*[f"_{c}" for c in named])
 
+    def kept(fitted: DataFrame) -> DataFrame:
+        return cut(fitted) if by else df.sparkSession.createDataFrame(fitted.collect(), fitted.schema)  # at most one row
+
     if method in ("ransac", "ransac_lsq"):
-        plane = cut(ransac_plane(base, tao, max_iters, seed, by))
+        plane = kept(ransac_plane(base, tao, max_iters, seed, by))
         away = g.normal_distance(g.triple(), *[tuple(F.col(f"_{p}{c}") for c in AXES) for p in "np"])
         if method == "ransac":
             return split(df, plane, away, PLANE)
         base = split(base, plane, away, PLANE).where("is_ground").select(*base.columns)
     elif method != "lsq":
         raise ValueError(f"unknown method {method!r}")
-    p = cut(lsq_plane(base, by))
+    p = kept(lsq_plane(base, by))
     return split(df, p, g.plane_distance(g.triple(), *[F.col(f"_{c}") for c in "abcd"]), "abcd")
 
 
