@@ -42,6 +42,14 @@ def same_cloud(left: DataFrame, right: DataFrame, by: Sequence[str], how: str =
     return left.join(other, on, how).drop(*[f"_same_{c}" for c in by])
 
 
+def beside(df: DataFrame, one: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """``df`` with the columns of its cloud's row in the small table ``one``; with no ``by`` they are constants in the plan."""
+    if by:
+        return same_cloud(df, one, by, how)
+    row = one.first()
+    return df.withColumns({f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in one.schema})
+
+
 def gather(df: DataFrame, ids: DataFrame, unique: bool = True) -> DataFrame:
     """Rows of the given ids (of the given clouds, if the ids name them); with ``unique`` false, once for each time an id is listed."""
     keys = ["point_id", *(c for c in clouds(ids) if c in df.columns)]

@@ -87,8 +87,14 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool =
     want = k + 1 if exclude_self else k
     box = points.groupBy(*by).agg(*[F.min(c).alias(f"l{c}") for c in AXES], F.greatest(*[F.max(c) - F.min(c) for c in AXES]).alias("side"), F.count("*").alias("n"))
     box = box.withColumn("side", F.when(F.col("side") > 0, F.col("side")).otherwise(1.0))
-    box = cut(box) if by else box.sparkSession.createDataFrame(box.collect(), box.schema)  # one row
-    most = (box.agg(F.max("n")) if by else box.select("n")).first()[0] or 0
+    if by:
+        box = cut(box)
+        most = box.agg(F.max("n")).first()[0] or 0
+        boxed = lambda df: cloud.same_cloud(df, box, by)
+    else:
+        row = box.first()
+        most = row["n"]
+        boxed = lambda df: df.withColumns({c: F.lit(row[c]).cast("double") for c in ("lx", "ly", "lz", "side")})
     deep = min(30, max(0, math.ceil(math.log2(max(1, most / want)) / 3)) + 8)
     levels = F.sequence(F.lit(0), F.lit(deep))
     cell = ["ci", "cj", "ck"]
@@ -103,8 +109,8 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool =
     place = Window.partitionBy(*by, *AXES).orderBy("point_id")
     kept = list(dict.fromkeys((*AXES, *(c for c in carry if c not in by))))
     p = points.withColumn("_same", F.row_number().over(place)).where(F.col("_same") <= want)
-    p = cloud.same_cloud(p, box, by).select(*by, F.col("point_id").alias("neighbor_id"), *[F.col(c).alias(f"n_{c}") for c in kept], *[index(F.col(c), c).alias(i) for c, i in zip(AXES, cell, strict=True)])
-    q = cloud.same_cloud(queries, box, by).select(*by, F.col("point_id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in AXES], *[f"l{c}" for c in AXES], "side", *[index(F.col(c), c).alias(i) for c, i in zip(AXES, cell, strict=True)])
+    p = boxed(p).select(*by, F.col("point_id").alias("neighbor_id"), *[F.col(c).alias(f"n_{c}") for c in kept], *[index(F.col(c), c).alias(i) for c, i in zip(AXES, cell, strict=True)])
+    q = boxed(queries).select(*by, F.col("point_id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in AXES], *[f"l{c}" for c in AXES], "side", *[index(F.col(c), c).alias(i) for c, i in zip(AXES, cell, strict=True)])
 
     def leveled(df: DataFrame, at: Column) -> DataFrame:
         out = df.withColumn("level", F.explode(at))

@@ -95,21 +95,20 @@ def ground_split(df: DataFrame, method: str = "ransac", tao: float = 0.2, max_it
     base = df if fit_on is None else fit_on
 
     def split(points: DataFrame, fitted: DataFrame, distance: Column, named: Sequence[str]) -> DataFrame:
-        near = cloud.same_cloud(points, fitted.select(*by, *[F.col(c).alias(f"_{c}") for c in named]), by, "left")
+        near = cloud.beside(points, fitted.select(*by, *[F.col(c).alias(f"_{c}") for c in named]), by, "left")
         return near.withColumn("plane_dist", distance).withColumn("is_ground", F.coalesce(F.col("plane_dist") < tao, F.lit(False))).drop(*[f"_{c}" for c in named])
 
-    def kept(fitted: DataFrame) -> DataFrame:
-        return cut(fitted) if by else df.sparkSession.createDataFrame(fitted.collect(), fitted.schema)  # at most one row
-
     if method in ("ransac", "ransac_lsq"):
-        plane = kept(ransac_plane(base, tao, max_iters, seed, by))
+        plane = ransac_plane(base, tao, max_iters, seed, by)
+        plane = cut(plane) if by else plane
         away = g.normal_distance(g.triple(), *[tuple(F.col(f"_{p}{c}") for c in AXES) for p in "np"])
         if method == "ransac":
             return split(df, plane, away, PLANE)
         base = split(base, plane, away, PLANE).where("is_ground").select(*base.columns)
     elif method != "lsq":
         raise ValueError(f"unknown method {method!r}")
-    p = kept(lsq_plane(base, by))
+    p = lsq_plane(base, by)
+    p = cut(p) if by else p
     return split(df, p, g.plane_distance(g.triple(), *[F.col(f"_{c}") for c in "abcd"]), "abcd")
 
 
