@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -39,14 +39,15 @@ def normals(points: DataFrame, k: int = 200, r: float | None = None, by: Sequenc
 def weighted_scatter(points: DataFrame, r: float, by: Sequence[str] | None = None) -> DataFrame:
     """Scatter of each point's neighbours about it, a neighbour weighing one over its own neighbour count.
 
-    Neighbourhood is mutual, so a neighbour's count is how often it is one: the pairs are joined once.
+    The pairs are joined twice, once for the counts and once for the sums, and summed where they arise: none is written.
     """
     by = clouds(points, by)
-    pairs = neighbors.radius_join(points, points, r, by=by, carry=AXES)
-    weighed = pairs.withColumn("w", 1.0 / F.count("*").over(Window.partitionBy(*by, "neighbor_id")))
+    counts = cut(neighbors.radius_count(points, r, by))
+    weighed = cloud.same_cloud(points.select(*by, "point_id", *AXES), counts.select(*by, "point_id", (1.0 / F.col("n")).alias("w")), [*by, "point_id"])
+    pairs = neighbors.radius_join(points, weighed, r, by=by, carry=(*AXES, "w"))
     d = {c: F.col(f"n_{c}") - F.col(f"q_{c}") for c in AXES}
-    w = F.col("w")
-    return weighed.groupBy(*by, F.col("query_id").alias("point_id")).agg(*[(F.sum(w * d[a] * d[b]) / F.sum(w)).alias(f"{a}{b}") for a, b in stats.UPPER])
+    w = F.col("n_w")
+    return pairs.groupBy(*by, F.col("query_id").alias("point_id")).agg(*[(F.sum(w * d[a] * d[b]) / F.sum(w)).alias(f"{a}{b}") for a, b in stats.UPPER])
 
 
 def salient(points: DataFrame, r: float, ratio: float = 0.875, by: Sequence[str] | None = None) -> DataFrame:

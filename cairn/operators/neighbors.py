@@ -37,18 +37,18 @@ def _around(df: DataFrame, size: float) -> DataFrame:
 def radius_join(queries: DataFrame, points: DataFrame, r: float, exclude_self: bool = False, by: Sequence[str] | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """query_id, neighbor_id, dist for every pair at most r apart (r included).
 
-    ``by`` holds clouds apart; columns in ``carry`` come along from both sides, as q_<name> and n_<name>.
+    ``by`` holds clouds apart; columns in ``carry`` come along from the sides that have them, as q_<name> and n_<name>.
     """
     by = clouds(points, by)
     size = r * (1 + 1e-9) if r > 0 else 1.0
-    carry = [c for c in carry if c not in by]
-    q = _around(queries.select(*by, F.col("point_id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in dict.fromkeys((*AXES, *carry))], *AXES), size).drop(*AXES)
-    p = points.select(*by, F.col("point_id").alias("neighbor_id"), *[F.col(c).alias(f"n_{c}") for c in dict.fromkeys((*AXES, *carry))], *_cells(size))
+    ours, theirs = ([c for c in carry if c not in by and c in side.columns] for side in (queries, points))
+    q = _around(queries.select(*by, F.col("point_id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in dict.fromkeys((*AXES, *ours))], *AXES), size).drop(*AXES)
+    p = points.select(*by, F.col("point_id").alias("neighbor_id"), *[F.col(c).alias(f"n_{c}") for c in dict.fromkeys((*AXES, *theirs))], *_cells(size))
     pairs = q.join(p, [*by, "cx", "cy", "cz"]).withColumn("dist", _gap())
     pairs = pairs.where(F.col("dist") <= r)
     if exclude_self:
         pairs = pairs.where("query_id <> neighbor_id")
-    return pairs.select(*by, "query_id", "neighbor_id", "dist", *[f"{s}_{c}" for s in "qn" for c in carry])
+    return pairs.select(*by, "query_id", "neighbor_id", "dist", *[f"q_{c}" for c in ours], *[f"n_{c}" for c in theirs])
 
 
 def _gap() -> Column:

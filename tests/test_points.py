@@ -326,3 +326,41 @@ def test_registered_comparison_takes_whole_shapes(spark, monkeypatch):
     whole = compare.compare
     monkeypatch.setattr(catalogue.compare, "compare", lambda s, methods, *size: whole(s, ("kmeans",), *size, shapes=("blobs",)))
     assert sum(r["n"] for r in catalogue.QUERIES["clustering_compare"](spark, "").collect()) == 1500
+
+
+def written(spark):
+    """Bytes that tasks have written for other tasks so far, and that lie in the checkpoint folder."""
+    every = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
+    kept = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength() if folder else 0
+    return kept + sum(every.apply(k).totalShuffleWrite() for k in range(every.size()))
+
+
+@pytest.mark.parametrize("name", ["scatter"])
+def test_no_pair_is_written(spark, name):
+    """1,200 points that are all neighbours: 1,440,000 pairs of 24 bytes at least, none of which leaves the task that finds it."""
+    run = {
+        "scatter": lambda p: features.weighted_scatter(p, 2.0),
+    }[name]
+    rng = np.random.default_rng(9)
+    p = points(spark, rng.random((1200, 3)).tolist())
+    p = p.withColumns({f"n{c}": F.lit(1 / math.sqrt(3)) for c in "xyz"})
+    before = written(spark)
+    run(p).write.format("noop").mode("overwrite").save()
+    assert written(spark) - before < 10_000_000
+
+
+def test_scatter_against_numpy(spark):
+    """Repeated places, edges and clouds: the weight of a neighbour is one over its own count."""
+    rng = np.random.default_rng(12)
+    m = np.vstack([rng.random((60, 3)), np.zeros((5, 3)), [[9.0, 9.0, 9.0]]])
+    p = points(spark, m.tolist()).withColumn("w", F.lit(7.0))
+    both = p.withColumn("cloud_id", F.lit("a")).union(p.withColumn("cloud_id", F.lit("b")))
+    near = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2)) <= 0.4
+    w = near / near.sum(axis=1)[None, :]
+    got = features.weighted_scatter(both, 0.4).collect()
+    assert len(got) == 2 * len(m)
+    for r in got:
+        d = m - m[r["point_id"]]
+        want = (w[r["point_id"]][:, None, None] * d[:, :, None] * d[:, None, :]).sum(0) / w[r["point_id"]].sum()
+        assert np.allclose([r[a + b] for a, b in stats.UPPER], want[np.triu_indices(3)], atol=1e-12)
