@@ -156,21 +156,21 @@ def _histograms(a: DataFrame, bins: int, by: list[str]) -> DataFrame:
 def fpfh(points: DataFrame, r: float = 0.2, bins: int = 6, ids: DataFrame | None = None, alpha: str = "published", by: Sequence[str] | None = None) -> DataFrame:
     """point_id, feature: own histogram plus the mean of the neighbours', weighed by 1 / distance; unit length.
 
-    Histograms are computed once for every point that is asked for or near one, then joined; for whole clouds the pairs with their angles are
-    kept, so neighbours are joined once. The mean is over one less than the neighbours counted with the point itself. Isolated points have no row.
+    Histograms are computed once for every point that is asked for or near one; a second join of the neighbours carries them, and pairs are
+    summed where they arise: none is written. The mean is over one less than the neighbours counted with the point itself. Isolated points have no row.
     """
     by = clouds(points, by)
-    if ids is None:
-        angles = cut(pair_angles(points, r, None, alpha, by))
-        pairs, simple = angles.select(*by, "query_id", "neighbor_id", "dist"), _histograms(angles, bins, by)
-    else:
-        ids = ids.select(*by, "point_id")
-        pairs = neighbors.radius_join(points.join(ids, [*by, "point_id"], "left_semi"), points, r, exclude_self=True, by=by)
-        pairs = pairs.where("dist > 0").select(*by, "query_id", "neighbor_id", "dist")
-        simple = spfh(points, r, bins, pairs.select(*by, F.col("neighbor_id").alias("point_id")).union(ids).distinct(), alpha, by)
+    asked = near_asked = None
+    if ids is not None:
+        asked = ids.select(*by, "point_id")
+        found = neighbors.radius_join(points.join(asked, [*by, "point_id"], "left_semi"), points, r, exclude_self=True, by=by).where("dist > 0")
+        near_asked = found.select(*by, F.col("neighbor_id").alias("point_id")).union(asked).distinct()
+    simple = cut(spfh(points, r, bins, near_asked, alpha, by))
     n = 3 * bins
-    near = pairs.join(simple.withColumnRenamed("point_id", "neighbor_id"), [*by, "neighbor_id"])
-    sums = near.groupBy(*by, "query_id").agg(F.count("*").alias("_n"), *[F.sum(F.col("feature")[k] / F.col("dist")).alias(f"_s{k}") for k in range(n)])
+    queries = points if asked is None else points.join(asked, [*by, "point_id"], "left_semi")
+    told = points.select(*by, "point_id", *AXES).join(simple, [*by, "point_id"])
+    near = neighbors.radius_join(queries, told, r, exclude_self=True, by=by, carry=["feature"]).where("dist > 0")
+    sums = near.groupBy(*by, "query_id").agg(F.count("*").alias("_n"), *[F.sum(F.col("n_feature")[k] / F.col("dist")).alias(f"_s{k}") for k in range(n)])
     both = sums.join(simple.withColumnRenamed("point_id", "query_id"), [*by, "query_id"])
     raw = both.select(*by, F.col("query_id").alias("point_id"), F.array(*[F.col("feature")[k] + F.col(f"_s{k}") / F.col("_n") for k in range(n)]).alias("f"))
     length = F.sqrt(F.aggregate("f", F.lit(0.0), lambda t, x: t + x * x))

@@ -336,12 +336,13 @@ def written(spark):
     return kept + sum(every.apply(k).totalShuffleWrite() for k in range(every.size()))
 
 
-@pytest.mark.parametrize("name", ["scatter", "eigenvalues", "salient"])
+@pytest.mark.parametrize("name", ["scatter", "eigenvalues", "salient", "fpfh"])
 def test_no_pair_is_written(spark, name):
     """1,200 points that are all neighbours: 1,440,000 pairs of 24 bytes at least, none of which leaves the task that finds it."""
     run = {
         "scatter": lambda p: features.weighted_scatter(p, 2.0), "salient": lambda p: features.salient(p, 2.0),
         "eigenvalues": lambda p: stats.scatter_eigenvalues(features.weighted_scatter(p, 2.0), ["point_id"]),
+        "fpfh": lambda p: features.fpfh(p, 2.0),
     }[name]
     rng = np.random.default_rng(9)
     p = points(spark, rng.random((1200, 3)).tolist())
@@ -365,3 +366,11 @@ def test_scatter_against_numpy(spark):
         d = m - m[r["point_id"]]
         want = (w[r["point_id"]][:, None, None] * d[:, :, None] * d[:, None, :]).sum(0) / w[r["point_id"]].sum()
         assert np.allclose([r[a + b] for a, b in stats.UPPER], want[np.triu_indices(3)], atol=1e-12)
+
+
+def test_fpfh_of_some_is_that_of_all(spark, sf):
+    p = tables.pts(spark, sf).limit(150).cache()
+    whole = {r["point_id"]: r["feature"] for r in features.fpfh(p, 0.1, 6).collect()}
+    some = features.fpfh(p, 0.1, 6, p.where("point_id % 7 = 0").select("point_id")).collect()
+    assert {r["point_id"] for r in some} == {i for i in whole if i % 7 == 0}
+    assert all(np.allclose(r["feature"], whole[r["point_id"]], atol=1e-9) for r in some)
