@@ -10,11 +10,14 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as g
 from . import cloud, graph
@@ -66,14 +69,61 @@ def _ranked(pairs: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn_brute(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False, by: Sequence[str] | None = None) -> DataFrame:
-    """Every query against every point of its cloud: the definition, for small query sets."""
+def _blocks(df: DataFrame, by: Sequence[str], size: int, names: dict[str, str]) -> DataFrame:
+    """Rows with an array for each of id, x, y, z (as ``names`` has them): points of a cloud, about ``size`` of them. Points without a place have no distance and are left out."""
+    placed = df.select(*by, "point_id", *[F.col(c).cast("double").alias(c) for c in AXES])
+    placed = placed.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in AXES]))
+    parts = cut(placed.groupBy(*by).agg(F.ceil(F.count("*") / size).alias("_parts")))
+    dealt = cloud.same_cloud(placed, parts, by).withColumn("_part", F.pmod(F.xxhash64("point_id"), F.greatest("_parts", F.lit(1))))
+    rows = dealt.groupBy(*by, "_part").agg(F.collect_list(F.struct("point_id", *AXES)).alias("_rows"))
+    return rows.select(*by, *[F.col(f"_rows.{c}").alias(n) for c, n in names.items()])
+
+
+def _nearest_of_block(k: int, exclude_self: bool, chunk: int = 16):
+    """The k nearest points of a block to each query of another, by (dist, id): what may be among them by a bound from the first points, then exactly."""
+
+    def run(q_ids, q, ids, p):
+        want = min(len(ids), k + 1 if exclude_self else k)
+        some = min(len(ids), max(1024, want))
+        for a in range(0, len(q_ids), chunk):
+            at = slice(a, a + chunk)
+            d2 = None
+            for x, y in zip(q, p, strict=True):  # in the order of ``g.dist2``
+                gap = y[None, :] - x[at, None]
+                gap *= gap
+                d2 = gap if d2 is None else np.add(d2, gap, out=d2)
+            edge = np.partition(d2[:, :some], want - 1, axis=1)[:, want - 1] * (1 + 1e-14)  # roots of different squares may be equal
+            i, j = np.nonzero(d2 <= edge[:, None])
+            d = np.sqrt(d2[i, j])
+            if exclude_self:
+                other = q_ids[a + i] != ids[j]
+                i, j, d = i[other], j[other], d[other]
+            order = np.lexsort((ids[j], d, i))
+            i, j, d = i[order], j[order], d[order]
+            ok = np.arange(len(i)) - np.searchsorted(i, i) < k
+            yield q_ids[a + i[ok]], ids[j[ok]], d[ok]
+
+    return run
+
+
+def knn_brute(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False, by: Sequence[str] | None = None, blocks: tuple[int, int] = (4096, 32768)) -> DataFrame:
+    """Every query against every point of its cloud: the definition, in blocks of queries and of points. Of a pair of blocks only k rows a query are written."""
     by = clouds(points, by)
-    q = queries.select(*by, F.col("point_id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in AXES])
-    p = points.select(*by, F.col("point_id").alias("neighbor_id"), *[F.col(c).alias(f"n_{c}") for c in AXES])
-    pairs = q.join(p, by) if by else q.crossJoin(p)
-    pairs = pairs.where("query_id <> neighbor_id") if exclude_self else pairs
-    return _ranked(pairs.select(*by, "query_id", "neighbor_id", _gap().alias("dist")), k, by).select(*by, "query_id", "neighbor_id", "dist", "rank")
+    q = _blocks(queries, by, blocks[0], {"point_id": "_q", "x": "_qx", "y": "_qy", "z": "_qz"})
+    p = _blocks(points, by, blocks[1], {"point_id": "_p", "x": "_px", "y": "_py", "z": "_pz"})
+    pairs = (q.join(p, by) if by else q.crossJoin(p)).repartition(F.rand(1))
+    nearest, width = _nearest_of_block(k, exclude_self), len(by)
+
+    def near(batches):
+        for b in batches:
+            for row in range(b.num_rows):
+                q_ids, *q, ids, x, y, z = (b.column(width + c)[row].values.to_numpy(zero_copy_only=False) for c in range(8))
+                found = [np.concatenate(c) for c in zip(*nearest(q_ids, q, ids, (x, y, z)), strict=True)]
+                same = [pa.array([b.column(c)[row].as_py()] * len(found[0]), b.schema.field(c).type) for c in range(width)]
+                yield pa.record_batch([*same, *map(pa.array, found)], [*by, "query_id", "neighbor_id", "dist"])
+
+    schema = T.StructType([*[points.schema[c] for c in by], T.StructField("query_id", queries.schema["point_id"].dataType), T.StructField("neighbor_id", points.schema["point_id"].dataType), T.StructField("dist", T.DoubleType())])
+    return _ranked(pairs.mapInArrow(near, schema), k, by).select(*by, "query_id", "neighbor_id", "dist", "rank")
 
 
 def knn_join(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False, by: Sequence[str] | None = None, carry: Sequence[str] = ()) -> DataFrame:

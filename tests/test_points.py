@@ -374,3 +374,37 @@ def test_fpfh_of_some_is_that_of_all(spark, sf):
     some = features.fpfh(p, 0.1, 6, p.where("point_id % 7 = 0").select("point_id")).collect()
     assert {r["point_id"] for r in some} == {i for i in whole if i % 7 == 0}
     assert all(np.allclose(r["feature"], whole[r["point_id"]], atol=1e-9) for r in some)
+
+
+def sorted_bytes(plan):
+    """The most memory of the sorts of an executed plan."""
+    if "AdaptiveSparkPlan" in plan.nodeName():
+        return sorted_bytes(plan.executedPlan())
+    below = [plan.plan()] if "QueryStage" in plan.nodeName() else [plan.children().apply(k) for k in range(plan.children().size())]
+    mine = plan.metrics().apply("peakMemory").value() if plan.nodeName() == "Sort" else 0
+    return max([mine, *map(sorted_bytes, below)])
+
+
+def test_brute_force_sorts_no_pairs(spark):
+    """2,000 points: 4,000,000 pairs of 32 bytes, of which only those that a block's nearest are go on to the ranks."""
+    p = points(spark, random_points(spark, 2000).tolist())
+    df = neighbors.knn_brute(p, p, 8)
+    assert len(df.collect()) == 16_000
+    assert sorted_bytes(df._jdf.queryExecution().executedPlan()) < 64_000_000
+
+
+@pytest.mark.parametrize("k,exclude", [(1, True), (6, False), (50, True)])
+def test_brute_force_in_blocks(spark, k, exclude):
+    """Ties, points in one place, more neighbours asked for than there are, clouds and points without a place."""
+    rng = np.random.default_rng(3)
+    m = np.vstack([rng.integers(0, 3, (30, 3)), np.zeros((8, 3))])
+    p = points(spark, m.tolist())
+    lost = spark.createDataFrame([(90, None, 0.0, 0.0), (91, float("nan"), 0.0, 0.0)], p.schema)
+    both = p.withColumn("cloud_id", F.lit("a")).union(p.where("point_id < 9").union(lost).withColumn("cloud_id", F.lit("b")))
+    got = neighbors.knn_brute(both, both, k, exclude_self=exclude, blocks=(5, 7)).collect()
+    want = []
+    for c, x in (("a", m), ("b", m[:9])):
+        for i in range(len(x)):
+            d = sorted((float(np.sqrt(((y - x[i]) ** 2).sum())), j) for j, y in enumerate(x) if not exclude or i != j)
+            want += [(c, i, j, dist, rank) for rank, (dist, j) in enumerate(d[:k], 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
