@@ -14,6 +14,8 @@ document. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Tuple
 
 import numpy as np
 import pandas as pd
@@ -51,7 +53,7 @@ def _hashes(text: str | None, least: int) -> set[tuple[int, int]]:
 
 def _pairs(least: int):
     def run(batches):
-        for b in batches:
+        for b in (piece for whole in batches for piece in common.slices(whole)):
             ids, hashes, prints = [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = _hashes(t, least)
@@ -191,10 +193,14 @@ def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, counts:
     gone = repeated_lines(docs, min_chars, min_docs).select(F.col("d").alias(d), F.col("drop").alias(drop))
     joined = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(gone, d, "left")
 
-    @F.pandas_udf("text string, n_lines long, n_dropped long")
-    def cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
-        out = [_cut(t, g, min_chars) for t, g in zip(text, gone, strict=True)]
-        return pd.DataFrame({"text": [None if t is None else "\n".join(k) for t, (k, _) in zip(text, out, strict=True)], "n_lines": [len(k) + n for k, n in out], "n_dropped": [n for _, n in out]})
+    @F.arrow_udf("text string, n_lines long, n_dropped long")
+    def cut(batches: Iterator[Tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:  # a task's rows may be one batch
+        for texts, drops in batches:
+            rows = pa.record_batch([texts, drops], ["text", "drop"])
+            for b in common.slices(rows):
+                out = [(t, *_cut(t, g, min_chars)) for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+                text = pa.array([None if t is None else "\n".join(k) for t, k, _ in out], pa.string())
+                yield pa.StructArray.from_arrays([text, pa.array([len(k) + n for _, k, n in out], pa.int64()), pa.array([n for _, _, n in out], pa.int64())], ["text", "n_lines", "n_dropped"])
 
     r = common.fresh(joined, "line_r")
     out = joined.withColumn(r, cut("text", F.col(drop)))
