@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import geometry as g
 from cairn.operators import cloud, clustering, features, graph, neighbors, planes, stats, trees, voxel
+from cairn.operators.session import cut
 from cairn.sources import tables
 
 SIX = [(1.0, 2.0), (1.5, 1.8), (5.0, 8.0), (8.0, 8.0), (1.0, 0.6), (9.0, 11.0)]
@@ -408,3 +409,13 @@ def test_brute_force_in_blocks(spark, k, exclude):
             d = sorted((float(np.sqrt(((y - x[i]) ** 2).sum())), j) for j, y in enumerate(x) if not exclude or i != j)
             want += [(c, i, j, dist, rank) for rank, (dist, j) in enumerate(d[:k], 1)]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_sizes_don_t_multiply_in_loops(spark):
+    """A checkpoint's statistics are the size of its files, whatever joins it came from; its rows and types stay."""
+    df = cut(spark.range(100).select("id", (F.col("id") * 0.5).alias("v")))
+    for _ in range(12):
+        df = cut(df.join(df.withColumnRenamed("v", "w"), "id").select("id", (F.col("v") + F.col("w")).alias("v")))
+    assert len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 6
+    assert sorted(map(tuple, df.collect())) == [(k, k * 0.5 * 2**12) for k in range(100)] and df.dtypes == [("id", "bigint"), ("v", "double")]
+    assert cut(df.where("id < 0")).count() == 0
