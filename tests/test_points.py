@@ -337,13 +337,14 @@ def written(spark):
     return kept + sum(every.apply(k).totalShuffleWrite() for k in range(every.size()))
 
 
-@pytest.mark.parametrize("name", ["scatter", "eigenvalues", "salient", "fpfh", "keypoints"])
+@pytest.mark.parametrize("name", ["scatter", "eigenvalues", "salient", "fpfh", "keypoints", "describe"])
 def test_no_pair_is_written(spark, name):
     """1,200 points that are all neighbours: 1,440,000 pairs of 24 bytes at least, none of which leaves the task that finds it."""
     run = {
         "scatter": lambda p: features.weighted_scatter(p, 2.0), "salient": lambda p: features.salient(p, 2.0),
         "eigenvalues": lambda p: stats.scatter_eigenvalues(features.weighted_scatter(p, 2.0), ["point_id"]),
         "fpfh": lambda p: features.fpfh(p, 2.0), "keypoints": lambda p: features.iss_keypoints(p, 2.0, 0.99),
+        "describe": lambda p: features.describe(p, p.where("point_id < 50"), 2.0, height=2.0),
     }[name]
     rng = np.random.default_rng(9)
     p = points(spark, rng.random((1200, 3)).tolist())
