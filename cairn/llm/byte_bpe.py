@@ -16,6 +16,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -79,7 +80,7 @@ class ByteBPE:
         self.split = regex.compile(pattern).findall
         self.chars = byte_chars()
         self.to_chars = dict(enumerate(self.chars))
-        self.raw = [k for k, _ in sorted(self.ranks.items(), key=lambda x: x[1])]
+        self.raw = pa.array([k for k, _ in sorted(self.ranks.items(), key=lambda x: x[1])], pa.large_binary())
         self.tokens: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
@@ -135,7 +136,18 @@ class ByteBPE:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))]))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.raw.__getitem__, ids))
+        return self.decode_batch(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+
+    def decode_batch(self, ids: pa.ListArray) -> pa.Array:
+        """Bytes of each list of ids: the tokens' bytes one after the other, cut where lists end."""
+        flat = ids.flatten()
+        if flat.null_count:
+            raise ValueError("an id is null")
+        tokens = self.raw.take(flat)  # an id that isn't a rank is an error
+        cuts = np.frombuffer(tokens.buffers()[1], np.int64)[: len(tokens) + 1] if len(tokens) else np.zeros(1, np.int64)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cuts[np.r_[0, ends].astype(np.int64)].tobytes()), tokens.buffers()[2]])
+        return texts.cast(pa.binary())
 
 
 @functools.lru_cache(maxsize=2)
@@ -149,24 +161,42 @@ def _small(batches, rows: int = 512):
             yield b.slice(k, rows)
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id``, ``ids``: every text's ids, empty for null or empty text."""
-
+def _encoded(path: str, pattern: str):
     def run(batches):
         bpe = load(path, pattern)
         for b in _small(batches):
             yield pa.record_batch([b.column(0), bpe.encode_batch(b.column(1).to_pylist())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id``, ``ids``, ``decoded`` (bytes); null ids decode to no bytes."""
-
+def _decoded(path: str, pattern: str):
     def run(batches):
         bpe = load(path, pattern)
         for b in _small(batches):
-            out = [bpe.decode(x.as_py() or []) for x in b.column(1)]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+            yield pa.record_batch([b.column(0), b.column(1), bpe.decode_batch(b.column(1))], ["doc_id", "ids", "decoded"])
+
+    return run
+
+
+IDS, DECODED = "doc_id long, ids array<int>", "doc_id long, ids array<int>, decoded binary"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id``, ``ids``: every text's ids, empty for null or empty text."""
+    return _texts(docs).mapInArrow(_encoded(path, pattern), IDS)
+
+
+def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id``, ``ids``, ``decoded`` (bytes); null ids decode to no bytes."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoded(path, pattern), DECODED)
+
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """What ``decode`` makes of what ``encode`` returns, in one Python worker a task instead of two, each with a model and caches."""
+    there, back = _encoded(path, pattern), _decoded(path, pattern)
+    return _texts(docs).mapInArrow(lambda batches: back(there(batches)), DECODED)

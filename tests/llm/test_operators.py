@@ -148,6 +148,38 @@ def test_byte_bpe(odd, none):
         assert ids == enc.encode_ordinary(t) and bpe.decode(ids) == t.encode(), repr(t)
 
 
+def test_byte_bpe_decodes_whole_batches(sf):
+    """Slices, null and empty lists; what isn't a rank is refused; no id becomes a Python object, so decoding takes a small part of encoding's time."""
+    import time
+
+    import pyarrow.parquet as pq
+
+    bpe = byte_bpe.ByteBPE(RANKS, public_tokenizers.PATTERN)
+    ids = pa.array([[1, 2], None, [], [300, 301, 5], [49999]], pa.list_(pa.int32()))
+    raw = sorted(bpe.ranks, key=bpe.ranks.get)
+    want = [raw[1] + raw[2], b"", b"", raw[300] + raw[301] + raw[5], raw[49999]]
+    for a in range(6):
+        for n in range(6 - a):
+            assert bpe.decode_batch(ids.slice(a, n)).to_pylist() == want[a : a + n]
+    for wrong in ([-1], [len(raw)], [1, None]):
+        with pytest.raises((IndexError, ValueError)):
+            bpe.decode(wrong)
+    texts = [t for t in pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    t0 = time.process_time()
+    encoded = pa.record_batch([pa.array(range(len(texts)), pa.int64()), bpe.encode_batch(texts)], ["doc_id", "ids"])
+    t1 = time.process_time()
+    assert bpe.decode_batch(encoded.column(1)).to_pylist() == [t.encode() for t in texts]
+    assert time.process_time() - t1 < (t1 - t0) / 4
+
+
+def test_byte_bpe_round_trip(spark, sf, odd):
+    """The rows of encode and decode, and one Python step where they have two."""
+    two = byte_bpe.decode(byte_bpe.encode(odd, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    one = byte_bpe.round_trip(odd, RANKS, public_tokenizers.PATTERN)
+    assert one.schema == two.schema and sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    assert queries.op2_byte_bpe(spark, sf)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 # --- 3 ----------------------------------------------------------------------
 
 
