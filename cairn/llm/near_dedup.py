@@ -19,8 +19,9 @@ text. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -38,6 +39,8 @@ SLOTS, ROWS = 96, 4
 #: Shingles and texts that a chunk holds, about; anchors that stand in every chunk of a star of several.
 CHUNK, MEMBERS = 200_000, 96
 ANCHORS = 8
+#: Bytes of text that are sketched at a time, about: numbers made of a piece take some fifteen times its size.
+PIECE = 2**20
 ODDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD]
 
 
@@ -118,8 +121,7 @@ def _sketch(batches):
     with np.errstate(over="ignore"):
         row = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                b = whole.slice(k, 2000)
+            for b in common.slices(whole, PIECE):
                 doc, element, count = shingles(b.column(1))
                 at = np.searchsorted(doc, np.arange(b.num_rows + 1))
                 keys = bands(signatures(doc, element, count.astype(np.float64), b.num_rows))
@@ -324,7 +326,7 @@ def _joined(large: DataFrame, label: DataFrame, payload: DataFrame) -> DataFrame
 
 def sketch(docs: DataFrame) -> DataFrame:
     schema = "row long, doc_id long, c binary, size long, bands array<long>, shingles binary, counts binary"
-    return common.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketch, schema), "near-sketches")
+    return common.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketch, schema), "near-sketches", rows=1000)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -342,15 +344,24 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat both id and words one stays; a class with only null ids keeps one of its rows.
     """
+    found = classes(docs)
+    own = F.when(F.col("doc_id") == F.col("class_id"), F.col("c"))
+    least = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(own).alias("kc")).where("kc is not null")
+    least = common.keep(least.select(F.col("doc_id").alias("kd"), "kc", "n"), "near-least")
+    kd = docs["doc_id"].cast("long")
+    kept = docs.join(least.where("n = 1").select("kd"), kd == F.col("kd"), "left_semi")  # an id that one row has names that row
+    again = least.where("n > 1").select("kd", "kc").union(found.where("doc_id is null and class_id is null").select(F.col("doc_id"), "c").distinct())
+    again = common.keep(again, "near-again")
+    if again.isEmpty():
+        return kept
     key = common.fresh(docs, "near_key")
 
-    @F.pandas_udf("binary")
-    def content(text: pd.Series) -> pd.Series:
-        return text.map(content_key)
+    @F.arrow_udf("binary")
+    def content(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in (piece for whole in texts for piece in common.slices(whole, PIECE)):
+            yield pa.array(map(content_key, t.to_pylist()), pa.binary())
 
-    found = classes(docs)
-    least = found.where("doc_id <=> class_id").groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("c")).alias("own")).agg(F.min("c").alias("kc"))
-    least = least.select(F.col("class_id").alias("kd"), "kc")
-    keyed = docs.withColumn(key, content(F.col("text").cast("string")))
-    kept = keyed.join(least, keyed["doc_id"].cast("long").eqNullSafe(least["kd"]) & (keyed[key] == least["kc"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", key]).drop(key)
+    some = docs.join(again.select("kd").distinct(), kd.eqNullSafe(F.col("kd")), "left_semi")
+    some = some.withColumn(key, content(F.col("text").cast("string")))
+    some = some.join(again, some["doc_id"].cast("long").eqNullSafe(again["kd"]) & (some[key] == again["kc"]), "left_semi")
+    return kept.union(some.dropDuplicates(["doc_id", key]).drop(key))

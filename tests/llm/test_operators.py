@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cairn.llm import byte_bpe, chat, exact_search, language_model, licenses, line_dedup, near_dedup, packing, pii, quality, queries, word_tokens
+from cairn.llm import byte_bpe, chat, common, exact_search, language_model, licenses, line_dedup, near_dedup, packing, pii, quality, queries, word_tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -736,6 +736,45 @@ def test_line_dedup_takes_a_batch_in_pieces(spark):
     assert rows == 3000 and peak < 15_000_000
 
 
+def test_sketches_take_a_batch_in_pieces(monkeypatch):
+    """2,000 texts of 1,000 words in one batch: what is made of them at once doesn't grow with the batch, and pieces don't change a row."""
+    import tracemalloc
+    import types
+
+    monkeypatch.setattr(near_dedup, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 3)))
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(1000)) for _ in range(2000)] + ["", None, "one two"]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    out = pa.Table.from_batches(near_dedup._sketch([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120_000_000
+    monkeypatch.setattr(near_dedup, "PIECE", 2**40)
+    whole = pa.Table.from_batches(near_dedup._sketch([batch.slice(1900)]))
+    assert out["row"].to_pylist() == [(3 << 40) + k for k in range(len(texts))] and out.slice(1900).drop(["row"]).combine_chunks().equals(whole.drop(["row"]).combine_chunks())
+
+
+def test_one_of_each_needs_no_text_where_ids_differ(spark, sf, monkeypatch):
+    """Of rows with an id of their own no content is looked at again; batches of sketches are small, and the session's setting is as before."""
+    before, seen = spark.conf.get(common.BATCH_ROWS), []
+    run = near_dedup.common.keep
+    monkeypatch.setattr(near_dedup.common, "keep", lambda df, label="t", rows=None: (seen.append(rows) if label == "near-sketches" else None, run(df, label, rows))[1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = near_dedup.one_of_each(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Aggregate" not in plan
+    classes = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
+    want = sorted(repr(r) for r in docs.collect() if classes[r["doc_id"]] == r["doc_id"])
+    assert sorted(map(repr, kept.collect())) == want and 0 < len(want) < len(classes)
+    assert seen == [1000, 1000] and spark.conf.get(common.BATCH_ROWS) == before
+    rows = docs.limit(50).collect()
+    more = [*rows, rows[0], (rows[1][0], "another text altogether of seven words", *rows[1][2:]), (None, rows[2][1], *rows[2][2:]), (None, "no id and a text of its own", *rows[2][2:]), (None, "no id  and a text of its OWN", *rows[2][2:])]
+    got = near_dedup.one_of_each(spark.createDataFrame(more, docs.schema)).collect()
+    ids = collections.Counter(r["doc_id"] for r in got)
+    assert ids[None] == 1 and ids[rows[0][0]] == 1 and max(ids.values()) == 1
+
+
 def test_line_dedup_pieces_keep_rows_apart(spark, monkeypatch):
     """Texts larger than a piece, null ones and several pieces a batch: every row gets its own text."""
     docs = spark.createDataFrame([(k, None if k % 7 == 0 else f"only of document number {k}\n" + "shared by every document here\n" + "y" * (3_000_000 if k % 9 == 0 else 10), k * 10) for k in range(1, 40)], "doc_id long, text string, other long").coalesce(1)
