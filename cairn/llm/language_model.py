@@ -140,7 +140,12 @@ def spell(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def log_spelling(speller: Speller, words: pa.Array) -> np.ndarray:
     cells, n = spell(words)
-    return np.add.reduceat(speller.log_prob(cells), np.cumsum(n) - n) if len(n) else np.zeros(0)
+    return _log_spelling(speller, *np.unique(cells, return_inverse=True), n)
+
+
+def _log_spelling(speller: Speller, cell: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The same of distinct cells (many a word has the same ones) and each byte's place among them."""
+    return np.add.reduceat(speller.log_prob(cell)[at], np.cumsum(n) - n) if len(n) else np.zeros(0)
 
 
 # --- batches and shards ---------------------------------------------------
@@ -188,14 +193,12 @@ def _read(shards: int):
             owner = np.repeat(np.arange(len(doc)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
             full = pa.compute.greater(pa.compute.binary_length(flat), 0)
             flat, owner = flat.filter(full), owner[full.to_numpy(zero_copy_only=False)]
-            coded = flat.dictionary_encode()
-            local: dict[bytes, int] = {END: 0}
-            to_local = np.array([local.setdefault(w.lower(), len(local)) for w in coded.dictionary.to_pylist()], dtype=np.int64)
-            token = to_local[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
+            coded = pa.compute.ascii_lower(flat.cast(pa.large_string())).cast(pa.large_binary()).dictionary_encode()
+            words = [END, *coded.dictionary.to_pylist()]
+            token = coded.indices.to_numpy().astype(np.int64) + 1
             out = np.array([held_out(d) for d in doc], dtype=bool)
-            train = np.bincount(token[~out[owner]], minlength=len(local))
+            train = np.bincount(token[~out[owner]], minlength=len(words))
             train[0] = (~out).sum()
-            words = list(local)
             shard = np.array([xxhash.xxh32_intdigest(w) % shards for w in words], dtype=np.int64)
             order = np.argsort(shard, kind="stable")
             place = np.empty(len(words), np.int64)
@@ -274,10 +277,10 @@ def _spellings(speller: Speller | None, sweep: int, tables: float):
     def run(batches):
         for row in _rows(batches):
             words, c = _words(row), _unzip(row["n"], np.int64)
-            t = (c > 0).astype(np.int64) if speller is None else seat(c, np.exp(log_spelling(speller, words)), tables, DISCOUNT, STRENGTH, _rng(sweep, row["shard"]))
             cells, n = spell(words)
-            sums = np.bincount(np.unique(cells, return_inverse=True)[1], np.repeat(t, n))
-            cell = np.unique(cells)
+            cell, at = np.unique(cells, return_inverse=True)
+            t = (c > 0).astype(np.int64) if speller is None else seat(c, np.exp(_log_spelling(speller, cell, at, n)), tables, DISCOUNT, STRENGTH, _rng(sweep, row["shard"]))
+            sums = np.bincount(at, np.repeat(t, n))
             yield pa.record_batch([pa.array(np.r_[cell, -1, -2]), pa.array(np.r_[sums, t.sum(), c.sum()].astype(np.int64))], ["cell", "n"])
 
     return run

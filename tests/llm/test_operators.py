@@ -775,6 +775,19 @@ def test_one_of_each_needs_no_text_where_ids_differ(spark, sf, monkeypatch):
     assert ids[None] == 1 and ids[rows[0][0]] == 1 and max(ids.values()) == 1
 
 
+def test_language_model_looks_up_distinct_cells():
+    """Spellings look up each distinct cell once, with the values that a look-up of every byte gives."""
+    rng = np.random.default_rng(6)
+    words = pa.array([bytes(rng.integers(97, 103, n).tolist()) for n in rng.integers(0, 12, 5000)] + [b"\xff\x00", b"z" * 300], pa.large_binary())
+    cells, n = language_model.spell(words)
+    some = np.unique(cells[:20_000])
+    speller, asked = language_model.Speller(some, rng.integers(1, 50, len(some)), rng), []
+    want = np.add.reduceat(speller.log_prob(cells), np.cumsum(n) - n)
+    whole = speller.log_prob
+    speller.log_prob = lambda c: (asked.append(len(c)), whole(c))[1]
+    assert np.array_equal(language_model.log_spelling(speller, words), want) and asked == [len(np.unique(cells))] and len(language_model.log_spelling(speller, words[:0])) == 0
+
+
 def test_line_dedup_pieces_keep_rows_apart(spark, monkeypatch):
     """Texts larger than a piece, null ones and several pieces a batch: every row gets its own text."""
     docs = spark.createDataFrame([(k, None if k % 7 == 0 else f"only of document number {k}\n" + "shared by every document here\n" + "y" * (3_000_000 if k % 9 == 0 else 10), k * 10) for k in range(1, 40)], "doc_id long, text string, other long").coalesce(1)
