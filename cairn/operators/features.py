@@ -75,18 +75,20 @@ def _skipping(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.set_index("point_id").loc[kept].reset_index().drop(columns=["foes", "_all"])
 
 
-def _best_apart(good: DataFrame, close: DataFrame, by: list[str]) -> DataFrame:
-    """Greedy choice by falling (score, id): in rounds, what beats all that conflicts with it stays and those go; as a walk would have it."""
+def _best_apart(good: DataFrame, close, by: list[str]) -> DataFrame:
+    """Greedy choice by falling (score, id): in rounds, what beats all that conflicts with it stays and those go; as a walk would have it.
+
+    ``close(a, b)`` joins what conflicts. It is joined anew for each question, and only answers by point leave the task that finds a pair.
+    """
+    key = [*by, "point_id"]
     left, kept = cut(good), []
-    rivals = close.select(*by, F.col("src").alias("point_id"), "dst")
+    beats = (F.col("n_score") > F.col("q_score")) | ((F.col("n_score") == F.col("q_score")) & (F.col("neighbor_id") > F.col("query_id")))
     while not left.isEmpty():
-        others = left.select(*by, F.col("point_id").alias("dst"), F.struct("score", F.col("point_id").alias("id")).alias("rival"))
-        best = rivals.join(others, [*by, "dst"]).groupBy(*by, "point_id").agg(F.max("rival").alias("rival"))
-        told = cut(left.join(best, [*by, "point_id"], "left").withColumn("stays", F.col("rival").isNull() | (F.struct("score", F.col("point_id").alias("id")) > F.col("rival"))))
-        stay = told.where("stays").drop("rival", "stays")
+        beaten = close(left, left).where(beats).select(*by, F.col("query_id").alias("point_id")).distinct()
+        stay = cut(left.join(beaten, key, "left_anti"))
         kept.append(stay)
-        gone = rivals.join(stay.select(*by, "point_id"), [*by, "point_id"], "left_semi").select(*by, F.col("dst").alias("point_id")).distinct()
-        left = cut(told.where("not stays").drop("rival", "stays").join(gone, [*by, "point_id"], "left_anti"))
+        gone = close(stay, left).select(*by, F.col("neighbor_id").alias("point_id")).union(stay.select(*key)).distinct()
+        left = cut(left.join(gone, key, "left_anti"))
     return reduce(DataFrame.union, kept, good.limit(0))
 
 
@@ -99,15 +101,18 @@ def iss_keypoints(points: DataFrame, r: float = 0.2, threshold: float = 0.4, com
     by = clouds(points, by)
     good = cut(salient(points, r, by=by).select(*by, "point_id", F.col("l3").alias("score")))
     reach = g.iou_radius(r, threshold)
-    placed = points.select(*by, "point_id", *AXES).join(good, [*by, "point_id"], "left_semi")
-    close = neighbors.radius_join(placed, placed, reach, exclude_self=True, by=by)
-    close = cut(close.where(g.sphere_iou(F.col("dist"), r) > threshold).select(*by, F.col("query_id").alias("src"), F.col("neighbor_id").alias("dst")))
+    placed = points.select(*by, "point_id", *AXES).join(good, [*by, "point_id"])
+
+    def close(a: DataFrame, b: DataFrame) -> DataFrame:
+        pairs = neighbors.radius_join(a, b, reach, exclude_self=True, by=by, carry=["score"])
+        return pairs.where(g.sphere_iou(F.col("dist"), r) > threshold)
+
     if compat_skip:
-        foes = close.groupBy(*by, F.col("src").alias("point_id")).agg(F.collect_list("dst").alias("foes"))
+        foes = close(placed, placed).groupBy(*by, F.col("query_id").alias("point_id")).agg(F.collect_list("neighbor_id").alias("foes"))
         rows = good.join(foes, [*by, "point_id"], "left").withColumn("foes", F.coalesce("foes", F.array().cast("array<bigint>")))
         kept = rows.withColumn("_all", F.lit(0)).groupBy(*by, "_all").applyInPandas(_skipping, good.schema)
     else:
-        kept = _best_apart(good, close, by)
+        kept = _best_apart(placed, close, by).select(*good.columns)
     return cloud.reindex(kept, [F.desc("score"), F.desc("point_id")], "order", by).withColumn("order", (F.col("order") + 1).cast("int"))
 
 

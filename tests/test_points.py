@@ -354,6 +354,23 @@ def test_no_pair_is_written(spark, name):
     assert written(spark) - before < 10_000_000
 
 
+@pytest.mark.parametrize("name", ["keypoints", "describe"])
+def test_no_conflict_is_written(spark, name):
+    """1,200 salient points that all overlap: of 1,438,800 conflicts none leaves the task that finds it, and the best point is chosen."""
+    rng = np.random.default_rng(10)
+    p = points(spark, (rng.random((1200, 3)) * [1.0, 0.6, 0.3]).tolist())
+    p = p.withColumns({f"n{c}": F.lit(1 / math.sqrt(3)) for c in "xyz"})
+    best = features.salient(p, 4.0).orderBy(F.desc("l3"), F.desc("point_id")).first()["point_id"]
+    before = written(spark)
+    kept = features.iss_keypoints(p, 4.0, 0.1)
+    if name == "describe":
+        assert features.describe(p, kept, 4.0, height=2.0).count() == 18
+    else:
+        assert [r["point_id"] for r in kept.collect()] == [best]
+    assert features.salient(p, 4.0).count() > 1100
+    assert written(spark) - before < 5_000_000
+
+
 def test_scatter_against_numpy(spark):
     """Repeated places, edges and clouds: the weight of a neighbour is one over its own count."""
     rng = np.random.default_rng(12)
