@@ -188,6 +188,14 @@ def dbscan(df: DataFrame, r: float = 1.0, min_sample: int = 20, by: Sequence[str
     return out.select(*by, "point_id", F.col("label").isNotNull().alias("is_core"), F.coalesce("label", "near", F.lit(-1)).cast("long").alias("cluster"))
 
 
+def _embedding(ids: np.ndarray, best: np.ndarray, root: np.ndarray) -> pd.DataFrame:
+    """Rows from eigenvectors of S, one a column: scaled to the random walk's, of length 1, the largest entry positive."""
+    best = best * root[:, None]
+    best /= np.sqrt((best**2).sum(axis=0))
+    big = best[np.abs(best).argmax(axis=0), np.arange(best.shape[1])]
+    return pd.DataFrame({"point_id": ids, "v": list(best * np.where(big < 0, -1.0, 1.0))})
+
+
 def _dense_eigenvectors(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, at = np.unique(np.r_[pdf["src"], pdf["dst"]], return_inverse=True)
@@ -196,10 +204,91 @@ def _dense_eigenvectors(k: int):
         w[src, dst] = pdf["w"]
         root = 1.0 / np.sqrt(w.sum(axis=1))
         values, vectors = np.linalg.eigh(root[:, None] * w * root[None, :])
-        best = vectors[:, ::-1][:, :k] * root[:, None]
-        best /= np.sqrt((best**2).sum(axis=0))
-        big = best[np.abs(best).argmax(axis=0), np.arange(best.shape[1])]
-        return pd.DataFrame({"point_id": ids, "v": list(best * np.where(big < 0, -1.0, 1.0))})
+        return _embedding(ids, vectors[:, ::-1][:, :k], root)
+
+    return run
+
+
+def _sparse_product(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, wide: int = 32):
+    """For edges sorted by src: the order in which it takes the nodes (those with most edges first), and a function from vectors (a row each) to their products.
+
+    The j-th edges of all nodes that have so many are one step: nodes in that order make them a prefix. What a node has beyond ``wide`` edges is summed in one go.
+    """
+    count = np.bincount(src, minlength=n)
+    order = np.argsort(-count, kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    first, falling = (np.cumsum(count) - count)[order], -count[order]
+    steps = []
+    for j in range(min(wide, count.max())):
+        at = first[: np.searchsorted(falling, -j)] + j
+        steps.append((place[dst[at]], w[at]))
+    more = -wide - falling[: np.searchsorted(falling, -wide)]  # edges that are left
+    ends = np.cumsum(more)
+    rest = np.repeat(first[: len(more)] + wide - (ends - more), more) + np.arange(more.sum())
+    to, by = place[dst[rest]], w[rest]
+
+    def times(v: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(v)
+        for x, y in zip(v, out, strict=True):
+            for at, weight in steps:
+                y[: len(at)] += x.take(at, mode="clip") * weight
+            if len(more):
+                y[: len(more)] += np.add.reduceat(x[to] * by, ends - more)
+        return out
+
+    return order, times
+
+
+def _leading(times, start: np.ndarray, k: int, tol: float, extra: int = 2, degree: int = 15, most: int = 36, kept: int = 12) -> np.ndarray:
+    """The k eigenvectors (rows) of greatest eigenvalue of a symmetric product with spectrum in [-1, 1], residuals below ``tol``: Chebyshev-Davidson.
+
+    The basis grows by the leading vectors that aren't there yet, filtered by a Chebyshev polynomial that damps what lies below the kept Ritz values;
+    a full basis starts again from these. Blocks of k + ``extra`` random vectors find equal eigenvalues together.
+    """
+    n, b = start.shape[1], min(start.shape[1], k + extra)
+    kept, most = max(kept, 2 * b), max(most, 6 * b)
+
+    def added(basis: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        for _ in range(2):
+            rows = np.linalg.qr((rows - (rows @ basis.T) @ basis).T)[0].T
+        return np.ascontiguousarray(rows)
+
+    v = added(np.zeros((0, n)), np.r_[start, np.random.default_rng(0).normal(size=(b - len(start), n))])
+    av = times(v)
+    while True:
+        h = v @ av.T
+        ritz, turn = np.linalg.eigh((h + h.T) / 2)
+        ritz, turn = ritz[::-1], turn.T[::-1]
+        x = turn[:b] @ v
+        left = np.sqrt(((turn[:b] @ av - ritz[:b, None] * x) ** 2).sum(axis=1))
+        if left[:k].max() < tol or len(v) == n:
+            return x[:k]
+        if len(v) + b > most:
+            v, av = turn[:kept] @ v, turn[:kept] @ av
+        cut_at = ritz[min(kept, len(ritz) - 1)]
+        mid, half = (cut_at - 1) / 2, max((cut_at + 1) / 2, 1e-3)
+        before = x[left >= tol][: n - len(v)]
+        here = (times(before) - mid * before) / half
+        for _ in range(degree - 1):
+            before, here = here, (times(here) - mid * here) * (2 / half) - before
+        t = added(v, here / np.sqrt((here**2).sum(axis=1, keepdims=True)))
+        v, av = np.r_[v, t], np.r_[av, times(t)]
+
+
+def _sparse_eigenvectors(k: int, tol: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["src", "dst"])  # sums in one order, however rows arrive
+        ids, src = np.unique(pdf["src"], return_inverse=True)
+        dst, w = np.searchsorted(ids, pdf["dst"]), pdf["w"].to_numpy()
+        degree = np.bincount(src, w)
+        if not (np.isfinite(w).all() and (degree > 0).all()):
+            raise ValueError("a node's edges must have finite weights that aren't all 0")
+        root = 1.0 / np.sqrt(degree)
+        order, times = _sparse_product(src, dst, w * root[src] * root[dst], len(ids))
+        best = np.empty((len(ids), k))
+        best[order] = _leading(times, np.sqrt(degree)[None, order], k, tol).T
+        return _embedding(ids, best, root)
 
     return run
 
@@ -234,7 +323,10 @@ def _iterated_eigenvectors(edges: DataFrame, k: int, tol: float, extra: int = 8,
         left = [float(t @ aa @ t - 2 * x * (t @ va @ t) + x * x * (t @ vv @ t)) for t, x in zip(turn.T, ritz, strict=True)]
         if max(left[:k]) < tol * tol:
             out = both.select("n", *mixed(both, y, turn[:, :k], y[:k])).join(d.withColumnRenamed("src", "n"), "n")
-            return out.select(F.col("n").alias("point_id"), F.array(*[F.col(c) / F.sqrt("degree") for c in y[:k]]).alias("v"))
+            out = cut(out.select(F.col("n").alias("point_id"), *[(F.col(c) / F.sqrt("degree")).alias(c) for c in y[:k]]))
+            # as in ``_embedding``: of length 1, the largest entry positive
+            scale = out.agg(*[(F.sqrt(F.sum(F.col(c) * F.col(c))) * F.signum(F.max_by(c, F.struct(F.abs(c), -F.col("point_id"))))).alias(c) for c in y[:k]]).first()
+            return out.select("point_id", F.array(*[F.col(c) / F.lit(scale[c]) for c in y[:k]]).alias("v"))
         mid, half = (ritz[-1] - 1) / 2, max((ritz[-1] + 1) / 2, 1e-3)  # damp [-1, least Ritz value]
         before = both.select("n", *mixed(both, y, turn, y))
         here = both.select("n", *[((a - mid * b) / half).alias(c) for c, a, b in zip(y, mixed(both, z, turn, z), mixed(both, y, turn, y), strict=True)])
@@ -248,16 +340,21 @@ def _iterated_eigenvectors(edges: DataFrame, k: int, tol: float, extra: int = 8,
         v = cut(here.select("n", *[(F.col(c) / F.lit(x or 1.0)).alias(c) for c, x in zip(y, top, strict=True)]))
 
 
-def spectral_embedding(edges: DataFrame, k: int, dense_limit: int = 4000, tol: float = 1e-6) -> DataFrame:
+def spectral_embedding(edges: DataFrame, k: int, dense_limit: int = 4000, tol: float = 1e-6, sparse_limit: int = 400_000) -> DataFrame:
     """point_id, v: the k eigenvectors of least eigenvalue of the random-walk Laplacian of one cloud's graph.
 
-    Up to ``dense_limit`` nodes one task takes the dense matrix; beyond, eigenvectors come from distributed subspace iteration,
-    which goes on until their residuals are below ``tol``: both give the same vectors up to that and to a turn within equal eigenvalues.
+    Up to ``dense_limit`` nodes one task takes the dense matrix; up to ``sparse_limit`` one task takes the edges (about a kilobyte a node) and goes on until
+    residuals are below a thousandth of ``tol``; beyond, eigenvectors come from distributed subspace iteration, until residuals are below ``tol``.
+    All give the same vectors up to that and to a turn within equal eigenvalues.
     """
     n = edges.select("src").distinct().count()
     if n <= max(dense_limit, k + 8):
-        return edges.select("src", "dst", "w", F.lit(0).alias("one")).groupBy("one").applyInPandas(_dense_eigenvectors(k), "point_id long, v array<double>")
-    return _iterated_eigenvectors(edges, k, tol)
+        run = _dense_eigenvectors(k)
+    elif n <= sparse_limit:
+        run = _sparse_eigenvectors(k, tol / 1000)
+    else:
+        return _iterated_eigenvectors(edges, k, tol)
+    return edges.select("src", "dst", "w", F.lit(0).alias("one")).groupBy("one").applyInPandas(run, "point_id long, v array<double>")
 
 
 def spectral(df: DataFrame, k: int, n_neighbors: int = 10, sigma: float = 1.0, max_iter: int = 100, dense_limit: int = 4000) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,47 @@ def test_spectral_ways_agree_on_close_eigenvalues(spark):
     assert np.linalg.svd(q[0].T @ q[1])[1].min() > 1 - 1e-6
 
 
+@pytest.mark.parametrize("sparse_limit", [400_000, 0])
+def test_spectral_ways_give_the_same_vectors(spark, sparse_limit):
+    """The edges in one task, and spread out, give the dense matrix's vectors: their length and sign too."""
+    rng = np.random.default_rng(4)
+    rows = np.vstack([rng.normal(size=(60, 2)) + c for c in ((0, 0), (3, 0), (0, 3))]).tolist()
+    edges = neighbors.knn_graph(points(spark, rows), 10).cache()
+    both = [clustering.spectral_embedding(edges, 3, dense_limit=d, sparse_limit=sparse_limit).orderBy("point_id").collect() for d in (4000, 0)]
+    assert [r["point_id"] for r in both[0]] == [r["point_id"] for r in both[1]]
+    assert np.abs(np.array([r["v"] for r in both[0]]) - np.array([r["v"] for r in both[1]])).max() < (1e-7 if sparse_limit else 1e-4)
+
+
+def test_spectral_beyond_the_dense_limit_makes_no_job_a_product(spark, monkeypatch):
+    """4,200 points on a bent line, in one task: the second vector is in the order of the line."""
+    monkeypatch.setattr(clustering, "_iterated_eigenvectors", None)
+    t = np.arange(4200) / 4200
+    edges = neighbors.knn_graph(points(spark, np.c_[40 * t, 5 * t * t, t].tolist()), 10)
+    v = np.array([r["v"][1] for r in clustering.spectral_embedding(edges, 2).orderBy("point_id").collect()])
+    assert len(v) == 4200 and (np.diff(v) * np.sign(v[-1] - v[0]) > 0).mean() > 0.99
+
+
+@pytest.mark.parametrize("kind", ["blobs", "apart", "hub"])
+def test_sparse_eigenvectors_against_dense(kind):
+    """Also with equal eigenvalues (parts without an edge between them) and with a node of many edges."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(240, 3)) + (np.arange(240) // 80 * 9.0)[:, None] * (kind == "apart")
+    near = np.argsort(((x[:, None] - x[None]) ** 2).sum(-1), axis=1)[:, 1:9]
+    w = np.zeros((240, 240))
+    w[np.arange(240)[:, None], near] = rng.random((240, 8)) + 0.5
+    if kind == "hub":
+        w[7, 20:200] = 0.1
+    w = np.maximum(w, w.T)
+    src, dst = np.nonzero(w)
+    pdf = pd.DataFrame({"src": src * 3, "dst": dst * 3, "w": w[src, dst]}).sample(frac=1, random_state=1)
+    out = [f(pdf).sort_values("point_id") for f in (clustering._dense_eigenvectors(4), clustering._sparse_eigenvectors(4, 1e-9))]
+    assert (out[0]["point_id"] == out[1]["point_id"]).all()
+    a, b = (np.stack(o["v"]) for o in out)
+    assert np.linalg.svd(np.linalg.qr(a)[0].T @ np.linalg.qr(b)[0])[1].min() > 1 - 1e-9
+    if kind != "apart":
+        assert np.abs(a - b).max() < 1e-6
+
+
 @pytest.mark.parametrize("r", [0.0, 0.05, 0.2])
 def test_dbscan_against_a_plain_search(spark, r):
     rng = np.random.default_rng(6)
