@@ -357,13 +357,43 @@ def spectral_embedding(edges: DataFrame, k: int, dense_limit: int = 4000, tol: f
     return edges.select("src", "dst", "w", F.lit(0).alias("one")).groupBy("one").applyInPandas(run, "point_id long, v array<double>")
 
 
-def spectral(df: DataFrame, k: int, n_neighbors: int = 10, sigma: float = 1.0, max_iter: int = 100, dense_limit: int = 4000) -> DataFrame:
-    """point_id, cluster: K-Means on the spectral embedding of the neighbour graph of one cloud (fewer neighbours if there are fewer points)."""
+def _kmeans_at_once(k: int, max_iter: int, tol: float):
+    """``kmeans`` from the rows of ``_far_apart``, in one task on rows point_id, v."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("point_id")
+        v = np.stack(pdf["v"])
+
+        def gaps(centers: np.ndarray) -> np.ndarray:
+            return np.stack([((v - c) ** 2).sum(axis=1) for c in centers])
+
+        centers = v[:1]
+        while len(centers) < k:
+            centers = np.r_[centers, v[gaps(centers).min(axis=0).argmax()][None]]
+        for _ in range(max_iter):
+            label = np.sqrt(gaps(centers)).argmin(axis=0)
+            new = np.stack([v[label == j].mean(axis=0) if (label == j).any() else c for j, c in enumerate(centers)])
+            moved, centers = np.abs(new - centers).max(), new
+            if moved < tol:
+                break
+        return pd.DataFrame({"point_id": pdf["point_id"], "cluster": np.sqrt(gaps(centers)).argmin(axis=0).astype(np.int32)})
+
+    return run
+
+
+def spectral(df: DataFrame, k: int, n_neighbors: int = 10, sigma: float = 1.0, max_iter: int = 100, dense_limit: int = 4000, sparse_limit: int = 400_000) -> DataFrame:
+    """point_id, cluster: K-Means on the spectral embedding of the neighbour graph of one cloud (fewer neighbours if there are fewer points).
+
+    Up to ``sparse_limit`` points one task takes the K-Means too, as its rounds are many and short.
+    """
     n = df.count()
     if n < 2:
         return df.select("point_id", F.lit(0).alias("cluster"))
     edges = cut(neighbors.knn_graph(df, min(n_neighbors, n - 1), sigma, by=()))
-    v = cut(spectral_embedding(edges, k, dense_limit).select("point_id", *[F.col("v")[j].alias(f"v{j}") for j in range(k)]))
+    found = spectral_embedding(edges, k, dense_limit, sparse_limit=sparse_limit)
+    if n <= sparse_limit:
+        return cut(found).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_kmeans_at_once(k, max_iter, 1e-8), "point_id long, cluster int")
+    v = cut(found.select("point_id", *[F.col("v")[j].alias(f"v{j}") for j in range(k)]))
     cols = [f"v{j}" for j in range(k)]
     return kmeans(v, k, _far_apart(v, k, cols), max_iter, 1e-8, cols).predict(v).select("point_id", "cluster")
 

@@ -31,9 +31,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "point_
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
-    """Edges in both directions, each once."""
+    """Edges in both directions, each once. What they come from is computed once: a union with themselves would do it again."""
     swap = {"src": "dst", "dst": "src"}
-    return edges.union(edges.select(*[F.col(swap.get(c, c)).alias(c) for c in edges.columns])).distinct()
+    both = F.array(F.struct(*edges.columns), F.struct(*[F.col(swap.get(c, c)).alias(c) for c in edges.columns]))
+    return edges.select(F.explode(both).alias("_e")).select(*[F.col(f"_e.{c}").alias(c) for c in edges.columns]).distinct()
 
 
 def averaged(edges: DataFrame) -> DataFrame:

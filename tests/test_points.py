@@ -218,6 +218,25 @@ def test_sparse_eigenvectors_against_dense(kind):
         assert np.abs(a - b).max() < 1e-6
 
 
+def test_kmeans_at_once_is_kmeans(spark):
+    rng = np.random.default_rng(9)
+    rows = [(3 * k, *p) for k, p in enumerate((rng.normal(size=(300, 3)) * [1.0, 0.5, 0.2]).round(1).tolist())]
+    v, cols = spark.createDataFrame(rows, "point_id long, v0 double, v1 double, v2 double"), ["v0", "v1", "v2"]
+    want = clustering.kmeans(v, 3, clustering._far_apart(v, 3, cols), 100, 1e-8, cols).predict(v).orderBy("point_id").collect()
+    pdf = pd.DataFrame({"point_id": [r[0] for r in rows], "v": [np.array(r[1:]) for r in rows]}).sample(frac=1, random_state=2)
+    got = clustering._kmeans_at_once(3, 100, 1e-8)(pdf)
+    assert list(zip(got["point_id"], got["cluster"])) == [(r["point_id"], r["cluster"]) for r in want]
+
+
+def test_neighbour_edges_are_computed_once(spark):
+    """Both directions come from one search: before, each had a ranking of its own."""
+    edges = spark.range(20).select(F.col("id").alias("src"), (F.col("id") % 7).alias("dst"), F.lit(1.0).alias("d2")).where("src <> dst")
+    both = graph.symmetric(edges)
+    assert "Union" not in both._jdf.queryExecution().optimizedPlan().toString()
+    want = {(a, a % 7) for a in range(20) if a != a % 7}
+    assert sorted((r["src"], r["dst"]) for r in both.collect()) == sorted(want | {(b, a) for a, b in want})
+
+
 @pytest.mark.parametrize("r", [0.0, 0.05, 0.2])
 def test_dbscan_against_a_plain_search(spark, r):
     rng = np.random.default_rng(6)
